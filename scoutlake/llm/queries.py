@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoutlake.llm.decontaminate import op2_winnowing
+from scoutlake.llm.jaccard import op8_combination_prefixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
+    "op8_combination_prefixes": op8_combination_prefixes,
 }
 
 SQL: dict[str, str] = {}
