@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scoutlake.llm.decontaminate import op2_winnowing
 from scoutlake.llm.jaccard import op8_combination_prefixes
+from scoutlake.llm.quality_rules import op4_weak_supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
+    "op4_weak_supervision": op4_weak_supervision,
     "op8_combination_prefixes": op8_combination_prefixes,
 }
 
