@@ -199,7 +199,9 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
     base = shared.written(base.withColumn("row", F.monotonically_increasing_id()), "sets")
     sets = base.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     sets = shared.written(sets.select("digest", F.col("least.row").alias("node"), F.col("least.id").alias("id"), "n"), "nodes")
-    nodes = base.filter("n > 0").join(sets.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("hashes").alias("pos", "hash"))
+    copies = shared.written(base.filter("n > 0").select("row").join(sets.select(F.col("node").alias("row")), "row", "left_anti"), "copies")
+    firsts = base.filter("n > 0").join(shared.checked_broadcast(copies), "row", "left_anti").withColumnRenamed("row", "node")
+    nodes = firsts.select("node", "n", F.posexplode("hashes").alias("pos", "hash"))
 
     # shingles that two sets show at least; those that more than `frequent` show are frequent
     dealt = nodes.repartition("hash")
@@ -233,7 +235,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
     light = _light_signatures(light, percent)
     signed = shared.written(_signed(heavy, percent).unionByName(light), "signed")
 
-    linked = _verified_links(docs, sets, signed, shingle, percent)
+    linked = _verified_links(docs, sets, firsts.select("node", "n", "hashes"), signed, shingle, percent)
     roots = components(linked)
     named = sets.join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -259,19 +261,53 @@ def _light_signatures(light: DataFrame, percent: int) -> DataFrame:
     return light.select("node", "n", F.inline("common")).mapInPandas(run, "node bigint, n int, score int, sign bigint")
 
 
-def _verified_links(docs: DataFrame, sets: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose first shingles leave it open that they link.
+
+    Below a bound that neither's shown shingles end before, a set of n can lack n - o shingles of the other at most, if they
+    share o in all. The shingles' upper 32 bits are compared: equal shingles stay equal, so no link is lost.
+    """
+    wanted = shared.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    short = firsts.join(shared.checked_broadcast(wanted), "node", "left_semi")
+    short = short.select("node", "n", F.transform("hashes", lambda h: (F.shiftrightunsigned(h, 32) - F.lit(1 << 31)).cast("int")).alias("top"))
+    left, right = (short.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("top").alias(f"top_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, n_a, n_b = [], batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
+            for r in range(batch.num_rows):
+                x = batch.column("top_a")[r].values.to_numpy(zero_copy_only=False)
+                y = batch.column("top_b")[r].values.to_numpy(zero_copy_only=False)
+                bound = min(x[-1] if len(x) < n_a[r] else 1 << 40, y[-1] if len(y) < n_b[r] else 1 << 40)
+                x, y = x[: np.searchsorted(x, bound)], y[: np.searchsorted(y, bound)]
+                share = -(-percent * (n_a[r] + n_b[r]) // (100 + percent))
+                if np.isin(x, y).sum() >= len(x) - (n_a[r] - share) and np.isin(y, x).sum() >= len(y) - (n_b[r] - share):
+                    keep.append(r)
+            take = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([take.column("a"), take.column("b")], ["a", "b"])
+
+    return both.select("a", "b", "n_a", "n_b", "top_a", "top_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links_of(docs: DataFrame, sets: DataFrame, firsts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs that link: first by their first shingles, then by their whole sets."""
+    open_pairs = shared.written(_possible(pairs, firsts, percent), "possible")
+    wanted = shared.written(open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct().join(sets, "node"), "wanted")
+    whole = _whole_sets(docs, wanted, shingle, percent, "candidates")
+    return shared.written(_linked(open_pairs, whole, percent), "links")
+
+
+def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links enough to join every component: all candidates against one of each signature, then those across components."""
     near = F.col("n") * 100 >= F.col("other_n") * percent
     near = near & (F.col("other_n") * 100 >= F.col("n") * percent)
     heads = signed.groupBy("sign").agg(F.max(F.struct("score", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     heads = heads.select("sign", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"))
-    met = signed.join(heads, "sign").filter(near & (F.col("node") != F.col("other")))
+    shown = shared.written(signed.join(heads, "sign"), "shown")
+    met = shown.filter(near & (F.col("node") != F.col("other")))
     pairs = shared.written(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-
-    shown = signed.join(heads.select("sign"), "sign")
-    wanted = shared.written(shown.select("node").distinct().join(sets, "node"), "wanted")
-    whole = _whole_sets(docs, wanted, shingle, percent, "candidates")
-    links = shared.written(_linked(pairs, whole, percent), "links")
+    links = _links_of(docs, sets, firsts, pairs, shingle, percent)
 
     roots = components(links)
     placed = shown.join(roots, "node", "left").select("sign", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -283,7 +319,7 @@ def _verified_links(docs: DataFrame, sets: DataFrame, signed: DataFrame, shingle
     across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     tried = pairs.union(pairs.select("b", "a"))
     across = shared.written(across.join(tried, ["a", "b"], "left_anti"), "across")
-    return shared.written(links.union(_linked(across, whole, percent)), "links")
+    return links.union(_links_of(docs, sets, firsts, across, shingle, percent))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
