@@ -44,13 +44,13 @@ def rules() -> dict[str, Column]:
     symbols, bangs, repeats = (_per_word(F.col(c)) for c in ("n_symbols", "n_bangs", "n_repeat_words"))
     length, capitals = _per_word(F.col("word_chars")), F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))
     again = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    plain = (symbols < 0.02) & (bangs < 0.05) & (capitals < 0.2) & (repeats < 0.2) & (length > 3) & (length < 8.5)
+    plain = (symbols < 0.02) & (bangs < 0.05) & (capitals < 0.2) & (repeats < 0.3) & (length > 3) & (length < 8.5)
     against = {
         "symbols": symbols > 0.1,
         "bangs": bangs > 0.2,
         "capitals": capitals > 0.3,
         "dup_lines": (again > 0.3) & (F.col("n_lines") > 2),
-        "repeats": repeats > 0.2,
+        "repeats": repeats > 0.3,
         "word_length": (length < 2) | (length > 10),
         "words": F.col("n_words") < 20,
     }
