@@ -11,12 +11,14 @@ from scoutlake.llm.decontaminate import op2_winnowing
 from scoutlake.llm.jaccard import op8_combination_prefixes
 from scoutlake.llm.quality_rules import op4_weak_supervision
 from scoutlake.llm.secrets import op6_blob_ledger
+from scoutlake.llm.url_filter import op7_template_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_backtracking": op3_backtracking,
     "op4_weak_supervision": op4_weak_supervision,
     "op6_blob_ledger": op6_blob_ledger,
+    "op7_template_tree": op7_template_tree,
     "op8_combination_prefixes": op8_combination_prefixes,
 }
 
