@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from scoutlake.llm.bpe import op3_backtracking
 from scoutlake.llm.decontaminate import op2_winnowing
 from scoutlake.llm.jaccard import op8_combination_prefixes
+from scoutlake.llm.language import op10_kneser_ney
+from scoutlake.llm.quality_model import op9_factorisation
 from scoutlake.llm.quality_rules import op4_weak_supervision
 from scoutlake.llm.secrets import op6_blob_ledger
 from scoutlake.llm.url_filter import op7_template_tree
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_blob_ledger": op6_blob_ledger,
     "op7_template_tree": op7_template_tree,
     "op8_combination_prefixes": op8_combination_prefixes,
+    "op9_factorisation": op9_factorisation,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 SQL: dict[str, str] = {}
