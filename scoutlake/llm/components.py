@@ -18,9 +18,10 @@ def components(links: DataFrame) -> DataFrame:
     both = shared.written(links.union(links.select("b", "a")).distinct(), "links")
     labels = shared.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("near_node")).agg(F.min("root").alias("near"))
+        sent = shared.checked_broadcast(labels)  # while few, labels go to the links; else both are shuffled
+        near = both.join(sent, both["b"] == sent["node"]).groupBy(F.col("a").alias("near_node")).agg(F.min("root").alias("near"))
         took = labels.join(near, F.col("node") == F.col("near_node"), "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("new"))
-        up = labels.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
+        up = sent.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
         after = took.join(up, F.col("new") == F.col("up_node"), "left").select("node", F.least("new", F.coalesce("up", "new")).alias("root"), "old")
         after = shared.written(after, "labels")
         if not after.filter("root <> old").limit(1).count():

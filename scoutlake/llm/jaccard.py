@@ -11,8 +11,9 @@ that occurs, outnumber n - t: then two linked documents must share a signature.
 
 Work. A document's first shingles by hash are enough while they hold n - t + 1 rare ones; only the others are read again, in
 whole. A signature's documents are first held against one of them, not against each other. Documents that this links are
-one component; then only pairs from different components of one signature are verified. No link that could join two
-components is left out, and the members of a large group never meet pairwise.
+one component; then only pairs from different components of one signature are verified, and of these only those whose sizes,
+less the shingles that nobody else has, leave room for a link. No link that could join two components is left out, and the
+members of a large group of copies do not meet pairwise.
 
 Defined results: a null or empty text has an empty set and links with nothing; fewer than five words are one shingle;
 documents with one id are rows of their own, and each goes with its text; a null id is never a component's id unless all
@@ -152,7 +153,7 @@ def signatures(hashes: np.ndarray, frequent: np.ndarray, n: int, percent: int) -
 
 
 def _signed(rows: DataFrame, percent: int) -> DataFrame:
-    """node, n, score, sign: from node, n, hashes, and the places of the frequent ones."""
+    """node, n, most, score (over 0), sign: from node, n, most, hashes, and the places of the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +166,12 @@ def _signed(rows: DataFrame, percent: int) -> DataFrame:
                 made.append(np.unique(signatures(hashes, marks, int(sizes[r]), percent)).astype(np.int64))
                 scores.append(int(marks.sum()))
             counts = [len(x) for x in made]
-            columns = [np.repeat(nodes, counts), np.repeat(sizes, counts), np.repeat(np.array(scores, np.int32), counts), np.concatenate([*made, np.zeros(0, np.int64)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "score", "sign"])
+            most = batch.column("most").to_numpy()
+            columns = [np.repeat(x, counts) for x in (nodes, sizes, most, np.array(scores, np.int32))]
+            columns.append(np.concatenate([*made, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "most", "score", "sign"])
 
-    return rows.select("node", "n", "hashes", "often").mapInArrow(run, "node bigint, n int, score int, sign bigint")
+    return rows.select("node", "n", "most", "hashes", "often").mapInArrow(run, "node bigint, n int, most int, score int, sign bigint")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +233,10 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
         full = full.union(_whole_sets(docs, late, shingle, percent, "whole"))
 
     heavy = full.select("node", "n", F.posexplode("hashes").alias("pos", "hash")).join(often, "hash").groupBy("node").agg(F.collect_list("pos").alias("often"))
-    heavy = full.join(heavy, "node", "left").withColumn("often", F.coalesce("often", F.array().cast("array<int>")))
+    # a shingle that only one of these sets has is missing in every other: what is left bounds what two of them share
+    alone = full.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("held"), F.max("node").alias("node")).filter("held = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    heavy = full.join(heavy, "node").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     light = marked.filter(~short).join(full.select("node"), "node", "left_anti")
     light = _light_signatures(light, percent)
     signed = shared.written(_signed(heavy, percent).unionByName(light), "signed")
@@ -255,10 +261,10 @@ def _light_signatures(light: DataFrame, percent: int) -> DataFrame:
             before = frame.groupby("node", sort=False)["is_often"].cumsum()
             keep = ~frame["is_often"] & (frame["pos"] - before < want)
             out = frame.loc[keep, ["node", "n", "hash"]].rename(columns={"hash": "sign"})
-            out["score"] = 0
-            yield out[["node", "n", "score", "sign"]].astype({"score": "int32"})
+            out["score"], out["most"] = 0, out["n"]
+            yield out[["node", "n", "most", "score", "sign"]].astype({"score": "int32"})
 
-    return light.select("node", "n", F.inline("common")).mapInPandas(run, "node bigint, n int, score int, sign bigint")
+    return light.select("node", "n", F.inline("common")).mapInPandas(run, "node bigint, n int, most int, score int, sign bigint")
 
 
 def _possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -302,19 +308,21 @@ def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed:
     """Links enough to join every component: all candidates against one of each signature, then those across components."""
     near = F.col("n") * 100 >= F.col("other_n") * percent
     near = near & (F.col("other_n") * 100 >= F.col("n") * percent)
-    heads = signed.groupBy("sign").agg(F.max(F.struct("score", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    heads = heads.select("sign", F.col("head.node").alias("other"), F.col("head.n").alias("other_n"))
+    enough = F.least("most", "other_most") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+    near = near & ((F.col("score") == 0) | (F.col("other_score") == 0) | enough)
+    heads = signed.groupBy("sign").agg(F.max(F.struct("score", "most", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    heads = heads.select("sign", *(F.col(f"head.{c}").alias(o) for c, o in (("node", "other"), ("n", "other_n"), ("most", "other_most"), ("score", "other_score"))))
     shown = shared.written(signed.join(heads, "sign"), "shown")
     met = shown.filter(near & (F.col("node") != F.col("other")))
     pairs = shared.written(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     links = _links_of(docs, sets, firsts, pairs, shingle, percent)
 
     roots = components(links)
-    placed = shown.join(roots, "node", "left").select("sign", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = shown.join(roots, "node", "left").select("sign", "node", "n", "most", "score", F.coalesce("root", "node").alias("root"))
     placed = shared.written(placed, "placed")
     mixed = placed.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sign")
     placed = shared.written(placed.join(mixed, "sign"), "mixed")
-    other = placed.select("sign", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    other = placed.select("sign", *(F.col(c).alias(o) for c, o in (("node", "other"), ("n", "other_n"), ("most", "other_most"), ("score", "other_score"), ("root", "other_root"))))
     across = placed.join(other, "sign").filter((F.col("root") < F.col("other_root")) & near)
     across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     tried = pairs.union(pairs.select("b", "a"))
