@@ -10,6 +10,7 @@ from scoutlake.llm.bpe import op3_backtracking
 from scoutlake.llm.decontaminate import op2_winnowing
 from scoutlake.llm.jaccard import op8_combination_prefixes
 from scoutlake.llm.language import op10_kneser_ney
+from scoutlake.llm.language_model import op5_log_bilinear
 from scoutlake.llm.quality_model import op9_factorisation
 from scoutlake.llm.quality_rules import op4_weak_supervision
 from scoutlake.llm.secrets import op6_blob_ledger
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_backtracking": op3_backtracking,
     "op4_weak_supervision": op4_weak_supervision,
+    "op5_log_bilinear": op5_log_bilinear,
     "op6_blob_ledger": op6_blob_ledger,
     "op7_template_tree": op7_template_tree,
     "op8_combination_prefixes": op8_combination_prefixes,
