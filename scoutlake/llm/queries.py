@@ -14,9 +14,11 @@ from scoutlake.llm.language_model import op5_log_bilinear
 from scoutlake.llm.quality_model import op9_factorisation
 from scoutlake.llm.quality_rules import op4_weak_supervision
 from scoutlake.llm.secrets import op6_blob_ledger
+from scoutlake.llm.token_store import op1_context_mixing
 from scoutlake.llm.url_filter import op7_template_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_winnowing": op2_winnowing,
     "op3_backtracking": op3_backtracking,
     "op4_weak_supervision": op4_weak_supervision,
