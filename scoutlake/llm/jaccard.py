@@ -10,10 +10,10 @@ signature, so a class can hide one shared shingle. The prefix is extended until
 that occurs, outnumber n - t: then two linked documents must share a signature.
 
 Work. A document's first shingles by hash are enough while they hold n - t + 1 rare ones; only the others are read again, in
-whole. A signature's documents are first held against one of them, not against each other. Documents that this links are
-one component; then only pairs from different components of one signature are verified, and of these only those whose sizes,
-less the shingles that nobody else has, leave room for a link. No link that could join two components is left out, and the
-members of a large group of copies do not meet pairwise.
+whole. A document is first held against one head of its signatures, then against those heads that lie in other components;
+then only pairs from different components of one signature are verified, and of these only those whose sizes, less the
+shingles that nobody else has, leave room for a link. No link that could join two components is left out, and the members of
+a large group of copies do not meet pairwise.
 
 Defined results: a null or empty text has an empty set and links with nothing; fewer than five words are one shingle;
 documents with one id are rows of their own, and each goes with its text; a null id is never a component's id unless all
@@ -305,7 +305,8 @@ def _links_of(docs: DataFrame, sets: DataFrame, firsts: DataFrame, pairs: DataFr
 
 
 def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links enough to join every component: all candidates against one of each signature, then those across components."""
+    """Links enough to join every component: each candidate against the first of all its signatures' heads, then against those
+    heads that lie in other components, then candidates of one signature across components."""
     near = F.col("n") * 100 >= F.col("other_n") * percent
     near = near & (F.col("other_n") * 100 >= F.col("n") * percent)
     enough = F.least("most", "other_most") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
@@ -313,9 +314,18 @@ def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed:
     heads = signed.groupBy("sign").agg(F.max(F.struct("score", "most", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     heads = heads.select("sign", *(F.col(f"head.{c}").alias(o) for c, o in (("node", "other"), ("n", "other_n"), ("most", "other_most"), ("score", "other_score"))))
     shown = shared.written(signed.join(heads, "sign"), "shown")
-    met = shown.filter(near & (F.col("node") != F.col("other")))
-    pairs = shared.written(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    links = _links_of(docs, sets, firsts, pairs, shingle, percent)
+    met = near & (F.col("node") != F.col("other"))
+    best = shown.filter(met).groupBy("node").agg(F.max(F.struct("other_score", "other_most", "other_n", "other")).alias("head"))
+    firstly = shared.written(best.select(F.col("node").alias("a"), F.col("head.other").alias("b")), "firstly")
+    links = _links_of(docs, sets, firsts, firstly, shingle, percent)
+    roots = shared.checked_broadcast(components(links))
+    others = roots.select(F.col("node").alias("other"), F.col("root").alias("other_root"))
+    apart = F.coalesce("root", "node") != F.coalesce("other_root", "other")
+    rest = shown.filter(met).join(roots, "node", "left").join(others, "other", "left").filter(apart)
+    rest = rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(firstly, ["a", "b"], "left_anti")
+    rest = shared.written(rest, "pairs")
+    links = links.union(_links_of(docs, sets, firsts, rest, shingle, percent))
+    pairs = firstly.union(rest)
 
     roots = components(links)
     placed = shown.join(roots, "node", "left").select("sign", "node", "n", "most", "score", F.coalesce("root", "node").alias("root"))
