@@ -1,0 +1,30 @@
+"""Personal data and credentials in texts, line by line."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: the patterns of a finding, and domains that nobody owns
+PATTERNS = {
+    "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    "us_phone": r"(?<!\d)(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}(?!\d)",
+    "bearer_token": r"[Bb]earer\s+[A-Za-z0-9\-._~+/]+=*",
+    "api_key_assignment": r"""(?:api[_-]?key|secret[_-]?key|access[_-]?token)["']?\s*[=:]\s*["']?[^\s"']{16,}""",
+}
+RESERVED = ("example.com", "example.net", "example.org", "test", "example", "invalid", "localhost")
+MARKER, MARKER_LINES = "synthetic-test-data", 5
+
+
+def findings(texts: DataFrame, id_column: str, kinds: tuple[str, ...] = tuple(PATTERNS), reserved: tuple[str, ...] = RESERVED) -> DataFrame:
+    """id_column, line (from 1), kind, match. A text with the marker in its first lines is skipped, as are reserved addresses."""
+    lines = F.split("text", "\n")
+    rows = texts.filter(~F.exists(F.slice(lines, 1, MARKER_LINES), lambda x: x.contains(MARKER)))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("_text", F.lit(PATTERNS[k]), F.lit(0)).alias("found")) for k in kinds))
+    rows = rows.select(id_column, F.posexplode(lines).alias("_line", "_text")).select(id_column, "_line", F.explode(found).alias("_f"))
+    rows = rows.select(id_column, (F.col("_line") + 1).cast("bigint").alias("line"), "_f.kind", F.explode("_f.found").alias("match"))
+    domain = F.lower(F.substring_index("match", "@", -1))
+    nobody = F.lit(False)
+    for d in reserved:
+        nobody = nobody | (domain == d) | domain.endswith("." + d)
+    return rows.filter((F.col("kind") != "email") | ~nobody)

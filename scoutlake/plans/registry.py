@@ -1,10 +1,519 @@
-"""All queries by name, and their SQL where SQL can express them."""
+"""The queries by name, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoutlake.functions import rates, text
+from scoutlake.operators import batting, games, identity, pitching, plays, spray, tables, text_scan
+from scoutlake.plans import standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+REFERENCE_DAY = "1997-06-15"
+
+
+def _day():
+    return F.lit(REFERENCE_DAY).cast("date")
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of a table reader; dates come out as text, so both engines print them alike."""
+
+    def add(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = make(lambda t: standins.table(spark, sf_dir, t))
+            return out.withColumns({c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "date"})
+
+        QUERIES[name] = run
+        if oracle is not None:
+            SQL[name] = standins.sql(oracle)
+        return make
+
+    return add
+
+
+_OWN = "perspective_team_id = team_id"
+_SIDES = """(select home_team_id as team_id, away_team_id as opponent_id, true as is_home, home_score as scored, away_score as allowed, game_id, season_id, game_date, start_time, status from games
+    union all select away_team_id, home_team_id, false, away_score, home_score, game_id, season_id, game_date, start_time, status from games) as sides"""
+_RESULT = "case when scored is null or allowed is null then '-' when scored > allowed then 'W' when scored < allowed then 'L' else 'T' end"
+_HISTORY = f"""(select *, date_diff('day', lag(game_date) over (partition by team_id, season_id, player_id order by game_date, start_time nulls last, game_id, seq), game_date) as rest_days,
+    dense_rank() over (partition by team_id, season_id order by game_date, start_time nulls last) as team_game_number,
+    max(appearance_order) over (partition by team_id, season_id, player_id) as any_order,
+    row_number() over (partition by team_id, season_id, game_id order by ip_outs desc, seq, player_id) as by_outs
+    from pitching where {_OWN} and status = 'completed') as history"""
+_STARTS = f"(select *, case when any_order is not null then coalesce(appearance_order = 1, false) else by_outs = 1 and ip_outs > 0 end as is_start from {_HISTORY}) as marked"
+_START_REST = f"""(select *, date_diff('day', lag(game_date) over (partition by team_id, season_id, player_id, is_start order by game_date, start_time nulls last, game_id, seq), game_date) as between_starts from {_STARTS}) as rested"""
+_PROFILES = f"""(select team_id, season_id, player_id, count(*) as games, sum(ip_outs)::bigint as ip_outs, sum(so)::bigint as so, sum(case when is_start then 1 else 0 end)::bigint as starts,
+    avg(case when is_start then between_starts end) as mean_start_rest from {_START_REST} group by all) as profiles"""
+_SEASON_BATTING = f"""(select *, ab + bb + hbp + shf as pa, doubles + triples + hr as xbh, h - doubles - triples - hr as singles from (
+    select team_id, season_id, player_id, count(distinct game_id) as games, {", ".join(f"coalesce(sum({c}), 0)::bigint as {c}" for c in batting.BATTING)} from batting where {_OWN} group by all) as sums) as season"""
+_SEASON_PITCHING = f"""(select team_id, season_id, player_id, count(distinct game_id) as games, {", ".join(f"sum({c})::bigint as {c}" for c in batting.PITCHING)},
+    case when max(appearance_order) is not null then sum(case when appearance_order = 1 then 1 else 0 end)::bigint end as gs from pitching where {_OWN} group by all) as season"""
+_OBP, _SLG, _AVG = "(h + bb + hbp)::double / nullif(pa, 0)", "(h + doubles + 2 * triples + 3 * hr)::double / nullif(ab, 0)", "h::double / nullif(ab, 0)"
+
+
+@query("workload_7d", f"""
+    select team_id, season_id, player_id, max(game_date)::string as last_outing, date_diff('day', max(game_date), date '{REFERENCE_DAY}') as days_since,
+        case when count(*) filter (inside) = 0 then 0 else sum(pitches) filter (inside) end::bigint as pitches_7d,
+        date_diff('day', min(game_date) filter (inside), max(game_date) filter (inside)) + 1 as span_days,
+        nullif(count(*) filter (inside), 0) as appearances_7d,
+        case when count(*) filter (inside) > 0 then count(*) filter (inside and pitches is null) end as unknown_7d
+    from (select *, game_date between date '{REFERENCE_DAY}' - 6 and date '{REFERENCE_DAY}' as inside from pitching where {_OWN}) as own group by all""")
+def workload_7d(t):
+    return pitching.workload(t("pitching"), _day())
+
+
+@query("appearance_history", f"select team_id, season_id, player_id, game_id, seq, game_date::string as game_date, rest_days, team_game_number from {_HISTORY}")
+def appearance_history(t):
+    return pitching.history(t("pitching")).select("team_id", "season_id", "player_id", "game_id", "seq", "game_date", "rest_days", "team_game_number")
+
+
+@query("start_intervals", f"select team_id, season_id, player_id, game_id, seq, game_date::string as game_date, between_starts as start_rest from {_START_REST} where is_start")
+def start_intervals(t):
+    return pitching.start_intervals(t("pitching")).select("team_id", "season_id", "player_id", "game_id", "seq", "game_date", "start_rest")
+
+
+@query("pitcher_profiles", f"select *, so * 27.0::double / nullif(ip_outs, 0) as k9 from {_PROFILES}")
+def pitcher_profiles(t):
+    return pitching.profiles(t("pitching"))
+
+
+@query("rest_table", f"""
+    select team_id, season_id, player_id, starts, games, nth from (
+        select *, row_number() over (partition by team_id, season_id order by as_starter desc, case when as_starter then starts end desc nulls last, games desc, player_id) as nth from (
+            select *, starts > 0 and row_number() over (partition by team_id, season_id order by starts > 0 desc, starts desc, games desc, player_id) <= 2 as as_starter from {_PROFILES}) as a
+        where as_starter or starts = 0) as b where nth <= 3""")
+def rest_table(t):
+    return pitching.rest_table(pitching.profiles(t("pitching")))
+
+
+@query("run_density", f"""
+    select team_id, season_id, max(n) as longest_run, max(n) >= 3 as is_dense from (
+        select team_id, season_id, run, count(*) as n from (
+            select *, sum(begins) over (partition by team_id, season_id order by game_date) as run from (
+                select *, case when date_diff('day', lag(game_date) over (partition by team_id, season_id order by game_date), game_date) <= 1 then 0 else 1 end as begins from (
+                    select distinct team_id, season_id, game_date, max(game_date) over (partition by team_id, season_id) as latest from {_SIDES}) as d
+                where date_diff('day', game_date, latest) <= 7) as b) as r group by all) as n group by all""")
+def run_density(t):
+    return pitching.run_density(games.by_team(t("games")))
+
+
+@query("pitch_eligibility", f"""
+    select team_id, season_id, player_id, last_date::string as last_date, case when unknown = 0 then last_pitches end as last_pitches, rested, reason, reason is null as eligible from (
+        select *, case when last_date > date '{REFERENCE_DAY}' then null when unknown > 0 then 'unknown pitches'
+            when rested < case when last_pitches < 1 then 0 when last_pitches <= 30 then 0 when last_pitches <= 50 then 1 when last_pitches <= 70 then 2 when last_pitches <= 90 then 3 else 4 end then 'rest'
+            when two_days >= 2 then 'consecutive days' end as reason from (
+            select team_id, season_id, player_id, max(last) as last_date, sum(case when game_date = last then pitches end)::bigint as last_pitches,
+                count(case when game_date = last and pitches is null then 1 end) as unknown,
+                count(case when date_diff('day', game_date, date '{REFERENCE_DAY}') in (1, 2) then 1 end) as two_days, date_diff('day', max(last), date '{REFERENCE_DAY}') as rested
+            from (select *, max(game_date) over (partition by team_id, season_id, player_id) as last from pitching where {_OWN} and status = 'completed') as own group by all) as made) as judged""")
+def pitch_eligibility(t):
+    return pitching.eligibility(t("pitching"), _day(), pitching.rule_set(F.lit("varsity"), _day()))
+
+
+@query("starter_predict")
+def starter_predict(t):
+    return pitching.likely_starters(t("pitching"), _day(), pitching.rule_set(F.lit("legion"), _day()))
+
+
+@query("season_batting", f"select * from {_SEASON_BATTING}")
+def season_batting(t):
+    return batting.season_batting(t("batting"))
+
+
+@query("season_pitching", f"select * from {_SEASON_PITCHING}")
+def season_pitching(t):
+    return batting.season_pitching(t("pitching"))
+
+
+def _rosters(season: DataFrame) -> DataFrame:
+    return season.filter("player_id % 2 = 0").select(*batting.KEYS, (F.col("player_id") % 99).cast("string").alias("jersey_number"))
+
+
+@query("batting_leaders", f"""
+    select team_id, season_id, player_id, first_name || ' ' || last_name as name, case when player_id % 2 = 0 then (player_id % 99)::string end as jersey_number, pa, avg, obp, slg, k_pct,
+        row_number() over (partition by team_id, season_id order by case when ab = 0 then 1 else 0 end, avg desc nulls last, last_name, player_id) as nth
+    from (select *, {_AVG} as avg, {_OBP} as obp, {_SLG} as slg, (so * 100)::double / nullif(pa, 0) as k_pct from {_SEASON_BATTING}) as r join batters using (player_id)""")
+def batting_leaders(t):
+    season = batting.season_batting(t("batting"))
+    rows = batting.batting_leaders(season, t("batters"), _rosters(season))
+    return rows.select("team_id", "season_id", "player_id", text.full_name().alias("name"), "jersey_number", "pa", "avg", "obp", "slg", "k_pct", "nth")
+
+
+@query("pitching_leaders", f"""
+    select team_id, season_id, player_id, era, k9, bb9, whip, strike_pct, (ip_outs // 3)::string || '.' || (ip_outs % 3)::string as innings, gs,
+        row_number() over (partition by team_id, season_id order by case when ip_outs = 0 then 1 else 0 end, era nulls last, last_name, player_id) as nth
+    from (select *, (er * 27)::double / nullif(ip_outs, 0) as era, (so * 27)::double / nullif(ip_outs, 0) as k9, (bb * 27)::double / nullif(ip_outs, 0) as bb9, ((bb + h) * 3)::double / nullif(ip_outs, 0) as whip,
+        (coalesce(total_strikes, 0) * 100)::double / nullif(coalesce(pitches, 0), 0) as strike_pct from {_SEASON_PITCHING}) as r join pitchers using (player_id)""")
+def pitching_leaders(t):
+    season = batting.season_pitching(t("pitching"))
+    rows = batting.pitching_leaders(season, t("pitchers"), _rosters(season))
+    return rows.select("team_id", "season_id", "player_id", "era", "k9", "bb9", "whip", "strike_pct", "innings", "gs", "nth")
+
+
+def _level_sql(pr: str, depth: list[tuple[int, int]]) -> str:
+    caps = " ".join(f"when size >= {n} then {m}" for n, m in depth)
+    return f"case when qualified then least(case when {pr} >= 0.70 then 4 when {pr} >= 0.40 then 3 when {pr} >= 0.20 then 2 else 1 end, case {caps} else 0 end) else 0 end::bigint"
+
+
+_BATTING_HEAT = ", ".join(f"cume_dist() over (partition by team_id, season_id, qualified order by {m}) as c_{m}" for m in ("avg", "obp", "slg", "composite"))
+
+
+@query("percentile_heat", f"""
+    select team_id, season_id, player_id, qualified, composite, {", ".join(f"{_level_sql('c_' + m, batting.BATTING_DEPTH)} as heat_{m}" for m in ("avg", "obp", "slg", "composite"))}
+    from (select *, count(*) over (partition by team_id, season_id, qualified) as size, {_BATTING_HEAT} from (
+        select *, 0.40::double * obp + 0.35::double * slg + 0.25::double * avg as composite from (
+            select *, pa >= 5 as qualified, coalesce({_AVG}, 0.0) as avg, coalesce({_OBP}, 0.0) as obp, coalesce({_SLG}, 0.0) as slg from {_SEASON_BATTING}) as a) as b) as c""")
+def percentile_heat(t):
+    rows = batting.batting_heat(batting.season_batting(t("batting")))
+    return rows.select("team_id", "season_id", "player_id", "qualified", "composite", *(f"heat_{m}" for m in ("avg", "obp", "slg", "composite")))
+
+
+@query("composite_score", f"""
+    select team_id, season_id, player_id, composite, case when qualified then least(case when c >= 0.70 then 4 when c >= 0.40 then 3 when c >= 0.20 then 2 else 1 end, case when size >= 6 then 4 when size >= 4 then 3 when size >= 3 then 2 when size >= 2 then 1 else 0 end) else 0 end::bigint as heat_composite from (
+        select *, cume_dist() over (partition by team_id, season_id, qualified order by composite) as c from (
+            select *, case when qualified then 0.40::double * c_era + 0.30::double * c_k9 + 0.30::double * c_whip else 0.0 end as composite from (
+                select *, count(*) over (partition by team_id, season_id, qualified) as size, cume_dist() over (partition by team_id, season_id, qualified order by era desc) as c_era,
+                    cume_dist() over (partition by team_id, season_id, qualified order by k9) as c_k9, cume_dist() over (partition by team_id, season_id, qualified order by whip desc) as c_whip from (
+                    select *, ip_outs >= 18 as qualified, coalesce((er * 27)::double / nullif(ip_outs, 0), 0.0) as era, coalesce((so * 27)::double / nullif(ip_outs, 0), 0.0) as k9, coalesce(((bb + h) * 3)::double / nullif(ip_outs, 0), 0.0) as whip from {_SEASON_PITCHING}) as a) as b) as d) as e""")
+def composite_score(t):
+    return batting.pitching_heat(batting.season_pitching(t("pitching"))).select("team_id", "season_id", "player_id", "composite", "heat_composite")
+
+
+@query("key_players", f"""
+    select coalesce(a.team_id, b.team_id) as team_id, coalesce(a.season_id, b.season_id) as season_id, pitcher_id, pitcher_outs, batter_id, batter_obp from
+        (select team_id, season_id, player_id as pitcher_id, ip_outs as pitcher_outs from {_SEASON_PITCHING} where ip_outs >= 18 qualify row_number() over (partition by team_id, season_id order by ip_outs desc, player_id) = 1) as a
+        full join (select team_id, season_id, player_id as batter_id, {_OBP} as batter_obp from {_SEASON_BATTING} where pa >= 5 qualify row_number() over (partition by team_id, season_id order by {_OBP} desc nulls last, player_id) = 1) as b
+        on a.team_id = b.team_id and a.season_id = b.season_id""")
+def key_players(t):
+    return batting.key_players(batting.season_batting(t("batting")), batting.season_pitching(t("pitching")))
+
+
+@query("team_batting_card", f"""
+    select team_id, season_id, pa, {_AVG} as avg, {_OBP} as obp, {_SLG} as slg, (so * 100)::double / nullif(pa, 0) as k_pct, (bb * 100)::double / nullif(pa, 0) as bb_pct from (
+        select team_id, season_id, {", ".join(f"sum({c})::bigint as {c}" for c in [*batting.BATTING, "pa"])} from {_SEASON_BATTING} group by all) as sums""")
+def team_batting_card(t):
+    return batting.team_batting(batting.season_batting(t("batting"))).select("team_id", "season_id", "pa", "avg", "obp", "slg", "k_pct", "bb_pct")
+
+
+def _record_sql(only: str) -> str:
+    return f"""select team_id, season_id, sum((scored > allowed)::int)::bigint as wins, sum((scored < allowed)::int)::bigint as losses, sum((scored = allowed)::int)::bigint as ties, count(*) as games,
+        avg(scored) as mean_scored, avg(allowed) as mean_allowed from {_SIDES} where scored is not null and allowed is not null {only} group by all"""
+
+
+@query("win_loss_record", _record_sql(""))
+def win_loss_record(t):
+    return games.records(t("games"))
+
+
+@query("all_team_records", _record_sql("and status = 'completed'"))
+def all_team_records(t):
+    return games.records(t("games"), completed_only=True)
+
+
+@query("schedule_enriched", f"""
+    select sides.team_id, sides.season_id, game_id, sides.opponent_id, is_home, {_RESULT} as result, name as opponent, r.wins as opponent_wins, r.losses as opponent_losses,
+        sides.opponent_id in (select team_id from pitching) as has_stats, case when waits then date_diff('day', date '{REFERENCE_DAY}', game_date) end as days_until,
+        waits and row_number() over (partition by sides.team_id, sides.season_id, waits order by game_date, start_time nulls last, game_id) = 1 as is_next
+    from (select *, status = 'scheduled' and game_date >= date '{REFERENCE_DAY}' as waits from {_SIDES}) as sides left join teams on id = opponent_id
+        left join ({_record_sql("and status = 'completed'")}) as r on r.team_id = sides.opponent_id and r.season_id = sides.season_id""")
+def schedule_enriched(t):
+    rows = games.schedule(t("games"), t("teams"), t("pitching").select("team_id").distinct(), _day())
+    return rows.select("team_id", "season_id", "game_id", "opponent_id", "is_home", "result", "opponent", "opponent_wins", "opponent_losses", "has_stats", "days_until", "is_next")
+
+
+@query("opponent_summary", f"""
+    select team_id, season_id, opponent_id, count(*) as games, sum(coalesce((status = 'completed' and scored > allowed), null)::int)::bigint as wins, sum((status = 'completed' and scored < allowed)::int)::bigint as losses,
+        min(case when game_date >= date '{REFERENCE_DAY}' then game_date end)::string as next_date, max(case when status = 'completed' then game_date end)::string as last_date from {_SIDES} group by all""")
+def opponent_summary(t):
+    return games.opponents(t("games"), _day())
+
+
+@query("last_meetings", f"""
+    select team_id, opponent_id, season_id, game_id, {_RESULT} as result from {_SIDES} where status = 'completed' and scored is not null and allowed is not null
+    qualify row_number() over (partition by team_id, opponent_id, season_id order by game_date desc, start_time desc nulls last, game_id desc) = 1""")
+def last_meetings(t):
+    return games.last_meetings(t("games")).select("team_id", "opponent_id", "season_id", "game_id", "result")
+
+
+@query("recent_form", f"""
+    select team_id, season_id, string_agg(result, '' order by nth) as form from (select team_id, season_id, {_RESULT} as result, row_number() over (partition by team_id, season_id order by game_date desc, start_time desc nulls last, game_id desc) as nth
+        from {_SIDES} where status = 'completed' and scored is not null and allowed is not null) as n where nth <= 5 group by all""")
+def recent_form(t):
+    return games.form(t("games"))
+
+
+@query("game_coverage", f"select team_id, max(game_date)::string as through, count(*) as games from {_SIDES} where status = 'completed' group by all")
+def game_coverage(t):
+    return games.coverage(t("games"))
+
+
+@query("prefer_own_perspective", """
+    select game_id, team_id, perspective_team_id, player_id, seq from (
+        select *, coalesce(max(case when perspective_team_id = team_id then team_id end) over (partition by game_id, team_id), min(perspective_team_id) over (partition by game_id, team_id)) as chosen from pitching) as p
+    where perspective_team_id = chosen""")
+def prefer_own_perspective(t):
+    return games.one_perspective(t("pitching")).select("game_id", "team_id", "perspective_team_id", "player_id", "seq")
+
+
+@query("recent_groups_top5", """
+    select player_id, game_id, nth, ip_outs, so from (select *, dense_rank() over (partition by player_id order by game_date desc, game_id desc) as nth from (select distinct player_id, game_id, game_date, ip_outs, so from pitching) as d) as r where nth <= 5""")
+def recent_groups_top5(t):
+    return games.recent_games(t("pitching").select("player_id", "game_id", "game_date", "ip_outs", "so")).select("player_id", "game_id", "nth", "ip_outs", "so")
+
+
+@query("union_seasons", "select team_id, season_id from pitching union select team_id, season_id from batting")
+def union_seasons(t):
+    return games.seasons(t("pitching"), t("batting"))
+
+
+@query("stats_presence", """
+    select id, case when exists (select 1 from pitching where team_id = id) then 'stats' when exists (select 1 from supplier where s_nationkey = id and s_acctbal > 9000) then 'syncing' else 'scoresheet' end as status from teams""")
+def stats_presence(t):
+    links = t("supplier").select(F.col("s_nationkey").cast("bigint").alias("team_id"), F.when(F.col("s_acctbal") > 9000, "running").otherwise("done").alias("state"))
+    return games.data_status(t("teams"), t("pitching"), links)
+
+
+@query("unordered_pair_dupes", """
+    select season_id, game_date::string as game_date, least(home_team_id, away_team_id) as low_team, greatest(home_team_id, away_team_id) as high_team, count(*) as games from games group by all having count(*) > 1""")
+def unordered_pair_dupes(t):
+    return games.duplicate_games(t("games"))
+
+
+@query("same_games", """
+    select canonical_id, duplicate_id, rule from (
+        select min(game_id) over (partition by game_date, low, high, start_time) as canonical_id, game_id as duplicate_id, 'start' as rule from keyed where start_time is not null
+        union all
+        select coalesce(f.with_start, min(k.game_id) over (partition by k.game_date, k.low, k.high, k.total)), k.game_id, 'total' from (select * from keyed where start_time is null and total is not null) as k
+            left join (select game_date, low, high, total, min(game_id) as with_start from (
+                select game_date, low, high, start_time, min(game_id) as game_id, arg_min(total, game_id) filter (true) as ignored from keyed where start_time is not null group by all) as m
+                join (select game_id, total from keyed) as own using (game_id) group by all) as f
+            on f.game_date = k.game_date and f.low = k.low and f.high = k.high and f.total = k.total) as pairs
+    where canonical_id <> duplicate_id""".replace("from keyed", "from (select game_id, game_date, least(home_team_id, away_team_id) as low, greatest(home_team_id, away_team_id) as high, start_time, home_score + away_score as total from games where status = 'completed') as keyed").replace(", arg_min(total, game_id) filter (true) as ignored", ""))
+def same_games(t):
+    return games.same_games(t("games"))
+
+
+_RATES = """select {key}, {sums}, ({n} * 100)::double / nullif({d}, 0) as {n}_pct, pitches::double / nullif({d}, 0) as pitches_per_{d} from (
+    select {key}, {more}count(*) as {d}, sum({flag})::bigint as {n}, sum(pitch_count)::bigint as pitches from plays {where} group by all) as sums"""
+
+
+@query("first_event_rate", _RATES.format(key="pitcher_id", sums="bf, fps, pitches", n="fps", d="bf", flag="is_first_pitch_strike", more="", where="where pitcher_id is not null"))
+def first_event_rate(t):
+    return plays.pitcher_rates(t("plays"))
+
+
+@query("quality_rate", _RATES.format(key="batter_id", sums="pa, qab, pitches", n="qab", d="pa", flag="is_qab", more="", where=""))
+def quality_rate(t):
+    return plays.batter_rates(t("plays"))
+
+
+@query("team_plays_rate", _RATES.format(key="batting_team_id", sums="games, pa, qab, pitches", n="qab", d="pa", flag="is_qab", more="count(distinct game_id) as games, ", where=""))
+def team_plays_rate(t):
+    return plays.team_rates(t("plays"))
+
+
+_DERIVED = """(select game_id, perspective_team_id, pitcher_id as player_id, count(*) as bf, sum(did_outs_change)::bigint as ip_outs, sum((outcome in ('Strikeout', 'Dropped 3rd Strike'))::int)::bigint as so,
+    sum((outcome in ('Walk', 'Intentional Walk'))::int)::bigint as bb, sum((outcome = 'Hit By Pitch')::int)::bigint as hbp, sum((outcome in ('Single', 'Double', 'Triple', 'Home Run'))::int)::bigint as h,
+    sum(pitch_count)::bigint as pitches, sum(strikes)::bigint as total_strikes from plays where pitcher_id is not null group by all)"""
+_BOX = f"(select game_id, perspective_team_id, player_id, bf, ip_outs, so + game_id % 2 as so, bb, hbp, h, pitches + 3 as pitches, total_strikes - 1 as total_strikes from {_DERIVED} as d where player_id % 10 < 2)"
+
+
+def _box(derived: DataFrame) -> DataFrame:
+    """Stands for official box scores: some differ, some are missing."""
+    return derived.filter("player_id % 10 < 2").withColumns({"so": F.col("so") + F.col("game_id") % 2, "pitches": F.col("pitches") + 3, "total_strikes": F.col("total_strikes") - 1})
+
+
+def _signal_sql(s: str) -> str:
+    value = f"p.{s}" if s not in ("pitches", "total_strikes") else f"case when b.bf = p.bf and b.so = p.so and b.bb = p.bb and b.pitches is not null and b.total_strikes is not null then b.{s} else p.{s} end"
+    return f"select coalesce(b.game_id, p.game_id) as game_id, coalesce(b.perspective_team_id, p.perspective_team_id) as perspective_team_id, coalesce(b.player_id, p.player_id) as player_id, '{s}' as signal, b.{s} as boxscore_value, {value} as plays_value from {_BOX} as b full join {_DERIVED} as p on b.game_id = p.game_id and b.perspective_team_id = p.perspective_team_id and b.player_id = p.player_id"
+
+
+@query("two_source_recon", "select *, plays_value - boxscore_value as delta, case when plays_value - boxscore_value is null then 'UNCORRECTABLE' when plays_value = boxscore_value then 'MATCH' when signal = 'ip_outs' then 'UNCORRECTABLE' else 'CORRECTABLE' end as status from (" + " union all ".join(map(_signal_sql, plays.SIGNALS)) + ") as s")
+def two_source_recon(t):
+    derived = plays.plays_by_pitcher(t("plays"))
+    return plays.reconciled(_box(derived), derived, ["game_id", "perspective_team_id", "player_id"], plays.SIGNALS)
+
+
+@query("range_attribution", """
+    select p.game_id, p.play_order, b.player_id as given_pitcher, b.player_id is not null as corrected from
+        (select *, row_number() over (partition by game_id order by play_order) as n from plays) as p left join
+        (select game_id, player_id, coalesce(lag(last) over (partition by game_id order by nth), 0) as before, last from (
+            select *, sum(bf) over (partition by game_id order by nth) as last from (
+                select game_id, game_id * 10 + play_order % 3 as player_id, play_order % 3 as nth, count(*) as bf from plays group by all) as a) as c
+            where game_id in (select game_id from plays group by game_id having count(distinct play_order % 3) >= 2)) as b
+        on p.game_id = b.game_id and p.n > b.before and p.n <= b.last""")
+def range_attribution(t):
+    rows = t("plays")
+    box = rows.groupBy("game_id", (F.col("play_order") % 3).alias("nth")).agg(F.count(F.lit(1)).alias("bf")).withColumn("player_id", F.col("game_id") * 10 + F.col("nth"))
+    return plays.attributed(rows, box)
+
+
+@query("status_counts_latest", """
+    select signal, status, count(*) as n from (
+        select l_returnflag as signal, l_linestatus as status, row_number() over (partition by l_suppkey, l_returnflag order by l_shipdate desc, l_orderkey * 100000000 + l_partkey * 10 + l_linenumber desc) as nth from lineitem) as r where nth = 1 group by all""")
+def status_counts_latest(t):
+    rows = t("lineitem").select(F.lit(1).alias("game_id"), F.lit(1).alias("perspective_team_id"), F.col("l_suppkey").alias("player_id"), F.col("l_returnflag").alias("signal"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ingest_seq"))
+    return plays.status_counts(rows)
+
+
+@query("tolerance_compare", f"""
+    select game_id, player_id, derived, official, case when official = 0 then case when derived > 0 then 100.0 else 0.0 end::double else abs(derived - official) * 100.0::double / official end as off_pct,
+        case when official = 0 then derived = 0 else abs(derived - official) * 100.0::double / official <= 5 end as within
+    from (select p.game_id, p.player_id, p.so as derived, b.so as official from {_DERIVED} as p join {_BOX} as b on p.game_id = b.game_id and p.player_id = b.player_id and p.perspective_team_id = b.perspective_team_id) as both_""")
+def tolerance_compare(t):
+    derived = plays.plays_by_pitcher(t("plays"))
+    return plays.compared(derived, _box(derived), ["game_id", "player_id"], "so")
+
+
+@query("two_strike_fold", """
+    select user_id, count(*) filter (before >= 2) as after_two from (
+        select user_id, coalesce(sum(strike) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before from (
+            select user_id, ts, event_id, case when event_id % 4 in (1, 2) then 1 else 0 end as strike from events) as e) as w group by all""")
+def two_strike_fold(t):
+    kind = F.when(F.col("event_id") % 4 == 1, "foul").when(F.col("event_id") % 4 == 2, "strike_looking").otherwise("ball")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", kind.alias("kind")))), lambda s: s["kind"])
+    return t("events").groupBy("user_id").agg(plays.after_two_strikes(ordered).alias("after_two"))
+
+
+@query("zone_counts", f"""
+    select player_id, count(*) as bip, sum((play_result in ('single', 'double', 'triple', 'home_run', 'dropped_third_strike'))::int)::bigint as hits,
+        {", ".join(f"sum((x is not null and {c})::int)::bigint as n_{z}" for z, c in (("left", "a < -0.206"), ("center", "a between -0.206 and 0.206"), ("right", "a > 0.206")))}
+    from (select *, atan2({160 - 160 * spray.X_SCALE!r}::double + x * {spray.X_SCALE!r}::double - 160, -({295 - 296 * spray.Y_SCALE!r}::double + y * {spray.Y_SCALE!r}::double - 295)) as a from balls) as b group by all""")
+def zone_counts(t):
+    return spray.zone_counts(t("balls"), ["player_id"])
+
+
+def _halves(t):
+    """Old rows and incoming ones, as a keyed table sees them."""
+    rows = t("lineitem").select(F.col("l_suppkey").alias("player_id"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_quantity").cast("bigint").alias("value"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_returnflag")).alias("note"), (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    old = tables.latest(rows.filter("seq % 2 = 0"), ["player_id", "line"]).filter("player_id % 3 > 0")
+    return old.drop("seq"), rows.filter("seq % 2 = 1 and player_id % 5 > 0")
+
+
+_HALVES = """rows_ as (select l_suppkey as player_id, l_linenumber::bigint as line, l_quantity::bigint as value, case when l_partkey % 3 > 0 then l_returnflag end as note, l_orderkey * 100000000 + l_partkey * 10 + l_linenumber as seq from lineitem),
+    old_ as (select * from rows_ where seq % 2 = 0 and player_id % 3 > 0 qualify row_number() over (partition by player_id, line order by seq desc) = 1),
+    new_ as (select * from rows_ where seq % 2 = 1 and player_id % 5 > 0 qualify row_number() over (partition by player_id, line order by seq {order}) = 1)"""
+
+
+@query("upsert_latest", f"with {_HALVES.format(order='desc')} select player_id, line, value, note from new_ union all select player_id, line, value, note from old_ where not exists (select 1 from new_ where new_.player_id = old_.player_id and new_.line = old_.line)")
+def upsert_latest(t):
+    return tables.upsert(*_halves(t), ["player_id", "line"])
+
+
+@query("upsert_coalesce", f"with {_HALVES.format(order='desc')} select player_id, line, coalesce(n.value, o.value) as value, coalesce(n.note, o.note) as note from old_ as o full join new_ as n using (player_id, line)")
+def upsert_coalesce(t):
+    return tables.upsert_filling(*_halves(t), ["player_id", "line"], fill=["note"])
+
+
+@query("insert_ignore", f"with {_HALVES.format(order='asc')} select player_id, line, value, note from old_ union all select player_id, line, value, note from new_ where not exists (select 1 from old_ where new_.player_id = old_.player_id and new_.line = old_.line)")
+def insert_ignore(t):
+    old, new = _halves(t)
+    return tables.insert_ignore(old, new, ["player_id", "line"]).select("player_id", "line", "value", "note")
+
+
+@query("longest_names", """
+    select player_id, max_by(first_name, struct_pack(a := case when first_name = 'Unknown' then 0 else length(first_name) end, b := -seq)) as first_name, max_by(last_name, struct_pack(a := length(last_name), b := -seq)) as last_name from (
+        select l_suppkey as player_id, case when l_linenumber = 1 then 'Unknown' else left(p_name, (l_linenumber + 2)::int) end as first_name, p_brand as last_name, l_orderkey * 100000000 + l_partkey * 10 + l_linenumber as seq from lineitem join part on l_partkey = p_partkey) as n group by all""")
+def longest_names(t):
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("l_suppkey").alias("player_id"), F.when(F.col("l_linenumber") == 1, "Unknown").otherwise(F.substring("p_name", F.lit(1), F.col("l_linenumber") + 2)).alias("first_name"), F.col("p_brand").alias("last_name"), (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return tables.longest_names(rows)
+
+
+@query("cascade_delete_survivors", """
+    select game_id from games where game_id not in (select game_id from pitching where team_id = 3)
+        or exists (select 1 from pitching as p where p.game_id = games.game_id and not exists (select 1 from pitching as r where r.team_id = 3 and r.game_id = p.game_id and r.perspective_team_id = p.perspective_team_id))""")
+def cascade_delete_survivors(t):
+    lines = t("pitching")
+    return tables.surviving_games(t("games"), lines, lines.filter("team_id = 3")).select("game_id")
+
+
+@query("orphan_games", "select game_id from games where home_team_id in (2, 4, 6, 8) and away_team_id in (2, 4, 6, 8)")
+def orphan_games(t):
+    return tables.orphan_games(t("games"), t("teams").filter("id in (2, 4, 6, 8)")).select("game_id")
+
+
+@query("key_faults", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def key_faults(t):
+    return tables.key_faults(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def _named(t):
+    words = F.split("p_name", " ")
+    return t("part").select((F.col("p_partkey") % 7).alias("team_id"), F.lit(1).alias("season_id"), F.col("p_partkey").alias("player_id"), F.substring(F.get(words, F.lit(0)), F.lit(1), (F.col("p_partkey") % 4 + 1).cast("int")).alias("first_name"), F.col("p_brand").alias("last_name"), F.col("p_size").cast("bigint").alias("stat_rows"))
+
+
+@query("prefix_dupes", """
+    with r as (select p_partkey % 7 as team_id, p_partkey as id, lower(left(split_part(p_name, ' ', 1), (p_partkey % 4 + 1)::int)) as first, lower(p_brand) as last, p_size::bigint as n from part)
+    select a.team_id, 1 as season_id, case when (-length(a.first), -a.n, a.id) < (-length(b.first), -b.n, b.id) then a.id else b.id end as canonical_id,
+        case when (-length(a.first), -a.n, a.id) < (-length(b.first), -b.n, b.id) then b.id else a.id end as duplicate_id
+    from r as a join r as b on a.team_id = b.team_id and a.last = b.last and a.id < b.id and a.first <> '' and b.first <> '' and (starts_with(a.first, b.first) or starts_with(b.first, a.first))""")
+def prefix_dupes(t):
+    return identity.duplicate_players(_named(t))
+
+
+_TEAMS = "(select p_partkey as id, lower(p_brand) as name, case when p_partkey % 4 = 0 then null else 2000 + p_size end::bigint as season_year from part where p_partkey % 3 > 0)"
+
+
+@query("name_dupes_two_pass", f"""
+    with r as (select *, case when season_year is null then 1 else count(*) over (partition by name, season_year) end as same from {_TEAMS} as t), l as (select *, count(season_year) over (partition by name) as dated, count(*) over (partition by name) as every from r where same = 1)
+    select id, name, season_year, 1::bigint as pass from r where same > 1 union all select id, name, season_year, 2 from l where dated > 0 and every > dated""")
+def name_dupes_two_pass(t):
+    year = F.when(F.col("p_partkey") % 4 != 0, 2000 + F.col("p_size")).cast("bigint")
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), year.alias("season_year"), F.when(F.col("p_partkey") % 3 > 0, "tracked").otherwise("member").alias("membership_type"))
+    return identity.duplicate_teams(rows)
+
+
+@query("link_counts", """
+    select s_nationkey::bigint as our_team_id, count(*) as total, sum((s_acctbal > 0 and s_suppkey % 5 > 0)::int)::bigint as resolved, sum((s_acctbal <= 0 and s_suppkey % 5 > 0)::int)::bigint as unresolved, sum((s_suppkey % 5 = 0)::int)::bigint as hidden from supplier group by all""")
+def link_counts(t):
+    rows = t("supplier").select(F.col("s_nationkey").cast("bigint").alias("our_team_id"), F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")).alias("resolved_team_id"), (F.col("s_suppkey") % 5 == 0).cast("int").alias("is_hidden"))
+    return identity.link_counts(rows)
+
+
+@query("json_extract_stats", "select user_id, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as sum_k from events group by all")
+def json_extract_stats(t):
+    k = F.from_json("props", "k bigint")["k"]
+    return t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k"))
+
+
+@query("season_display", "select o_orderkey, 'Spring ' || extract(year from o_orderdate)::string as shown from orders")
+def season_display(t):
+    season = text.season_id(F.year("o_orderdate"), F.lit("hs"), 2026)
+    return t("orders").select("o_orderkey", text.season_display(season).alias("shown"))
+
+
+@query("name_classify", """
+    select c_custkey, case when c_custkey % 6 = 0 then 'jv' when c_custkey % 6 = 1 then 'varsity' when c_custkey % 6 = 2 then 'freshman' when c_custkey % 6 = 3 and c_custkey % 20 between 8 and 14 then (c_custkey % 20)::string || 'U' when c_custkey % 6 = 4 then 'legion' end as level from customer""")
+def name_classify(t):
+    key = F.col("c_custkey") % 6
+    tail = F.when(key == 0, " Junior Varsity").when(key == 1, " VARSITY 12U").when(key == 2, " Frosh").when(key == 3, F.concat(F.lit(" "), (F.col("c_custkey") % 20).cast("string"), F.lit("u"))).when(key == 4, " Legion Post 5").otherwise(" Club")
+    return t("customer").select("c_custkey", text.classification(F.concat("c_name", tail)).alias("level"))
+
+
+@query("pii_email_hits", r"""
+    select doc_id, line, 'email' as kind, match from (
+        select doc_id, line, unnest(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) as match from (
+            select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) as l) as m
+    where not regexp_matches(lower(match), '@(.*\.)?(example\.com|example\.net|example\.org|test|example|invalid|localhost)$')""")
+def pii_email_hits(t):
+    return text_scan.findings(t("documents"), "doc_id", kinds=("email",))
+
+
+@query("email_lines", r"""
+    select doc_id, line, 'email' as kind, match from (
+        select doc_id, line, unnest(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) as match from (
+            select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) as l) as m""")
+def email_lines(t):
+    return text_scan.findings(t("documents"), "doc_id", kinds=("email",), reserved=())
+
+
+@query("pii_scan")
+def pii_scan(t):
+    return text_scan.findings(t("documents"), "doc_id")
