@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens that a worker remembers; then it forgets them all.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: One character for the end of a pre-token, outside the 256 that stand for bytes.
 _END = ""
 _NEVER = 1 << 60

@@ -24,6 +24,8 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: The columns that are added; they replace those of the same name.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capitals"]
 #: A document stays when it is at least so probable that it is good.
 KEEP = 0.5
 #: Estimation ends after so many rounds, or when nothing changes by more.
@@ -136,11 +138,14 @@ def estimated(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tu
     return prior, good, bad
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """docs with the counts of `counted`, base_failed, the posterior `good` (0 to 1) and kept."""
+def quality(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with the counts of `counted`, base_failed, the posterior `good` (0 to 1) and kept.
+
+    Texts are counted once: what is written for the estimate and the verdicts has the counts, not the texts.
+    """
     votes = rules()
     names = {r: f"_vote_{r}" for r in votes}
-    rows = shared.written(counted(docs), "counted")
+    rows = shared.written(counted(docs.select(*(F.col(k) for k in keep if k not in COUNTS), "text")).drop("text"), "counted")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     voted = rows.withColumns({names[r]: v for r, v in votes.items()})
     patterns = shared.written(voted.groupBy(*names.values()).count(), "patterns")
@@ -148,12 +153,20 @@ def quality(docs: DataFrame) -> DataFrame:
     return voted.withColumns({"base_failed": failed, "good": good, "kept": ~failed & (good >= KEEP)}).drop(*names.values())
 
 
+def _text_key(text: Column) -> list[Column]:
+    """Two hashes of a text that together stand for it."""
+    known = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(known).alias("_key"), F.xxhash64(known, F.lit(1)).alias("_key2")]
+
+
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that are kept."""
-    named = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return quality(named).filter("kept").select("row.*")
+    """The rows of docs, with their own columns, that are kept. A verdict is its text's, so rows join it by their texts' hashes."""
+    judged = quality(docs.select("text", *_text_key(F.col("text"))), ["_key", "_key2"])
+    bad = shared.written(judged.filter(~F.col("kept")).select("_key", "_key2").distinct(), "rejected")
+    one, two = _text_key(docs["text"])
+    return docs.join(shared.checked_broadcast(bad), (one == bad["_key"]) & (two == bad["_key2"]), "left_anti")
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good")

@@ -48,7 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def made_since(n: int) -> list[str]:
+    """The paths that new_path gave after the first n."""
+    return _made[n:]
+
+
+def made() -> int:
+    return len(_made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables; for callers that know that no DataFrame reads them any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -37,7 +37,7 @@ END_ID = 0
 #: Tokens of a frame, and blocks that are coded side by side.
 FRAME, GROUP = 4 << 20, 1024
 #: Pre-tokens that a worker remembers; then it forgets them all.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _SYMBOLS, _STATES, _BITS = 16, 3, 15
 _HIT2, _HIT1, _NEW, _SEEN = 0, 1, 2, 3
