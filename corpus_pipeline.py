@@ -9,27 +9,52 @@ Nulls, empty texts, repeated rows, empty tables and other columns are handled as
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from scoutlake.llm import bpe, decontaminate, jaccard, quality_rules, secrets, shared
 
 
+#: What the last stage wrote for itself.
+_left: list[str] = []
+
+
+def fresh(stage):
+    """A stage that first deletes what the one before it wrote for itself: docs is a table of its own by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.discard(spark, _left)
+        before = shared.made()
+        out = stage(spark, docs, sf_dir)
+        _left[:] = shared.made_since(before)
+        return out
+
+    return run_stage
+
+
+@fresh
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.good_documents(docs)
 
 
+@fresh
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@fresh
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@fresh
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redacted(docs)
 
 
+@fresh
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, bpe.vocabulary_path(), keep=[c for c in ("doc_id", "lang", "source") if c in docs.columns])
 
