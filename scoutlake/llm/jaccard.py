@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -253,18 +252,21 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
 def _light_signatures(light: DataFrame, percent: int) -> DataFrame:
     """Signatures of nodes with enough rare shingles among their first: the rare ones within the prefix that others show, too."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            want = frame["n"] - needed(frame["n"], percent) + 1
-            before = frame.groupby("node", sort=False)["is_often"].cumsum()
-            keep = ~frame["is_often"] & (frame["pos"] - before < want)
-            out = frame.loc[keep, ["node", "n", "hash"]].rename(columns={"hash": "sign"})
-            out["score"], out["most"] = 0, out["n"]
-            yield out[["node", "n", "most", "score", "sign"]].astype({"score": "int32"})
-
-    return light.select("node", "n", F.inline("common")).mapInPandas(run, "node bigint, n int, most int, score int, sign bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, common = batch.column("n").to_numpy().astype(np.int64), batch.column("common")
+            counts, found = common.value_lengths().to_numpy(), common.flatten()
+            pos, often = found.field("pos").to_numpy(), found.field("is_often").to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(counts)))
+            seen = np.concatenate(([0], np.cumsum(often)))
+            before = seen[:-1] - np.repeat(seen[at[:-1]], counts)  # frequent ones of the same node before each
+            keep = ~often & (pos - before < np.repeat(sizes - needed(sizes, percent) + 1, counts))
+            nodes, n = (np.repeat(batch.column(c).to_numpy(), counts)[keep] for c in ("node", "n"))
+            columns = [nodes, n, n, np.zeros(len(n), np.int32), found.field("hash").to_numpy()[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "most", "score", "sign"])
+
+    # one row for each node: batches end between rows, at any row, so what is counted by node has to lie within one
+    return light.select("node", "n", "common").mapInArrow(run, "node bigint, n int, most int, score int, sign bigint")
 
 
 def _possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:

@@ -242,6 +242,18 @@ def test_jaccard_keeps_every_link_of_a_large_group(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute.components(texts)
 
 
+def test_jaccard_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [(2 * i + k, f"a b c d e f x{i} y{i}" + f" z{i}" * k) for i in range(60) for k in (0, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = rows(jaccard.link_components(spark.createDataFrame(texts, "doc_id bigint, text string"), frequent=3), "doc_id", "n_shingles", "component_id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == brute.components(texts)
+    assert all(c == i - i % 2 for i, _, c in found)
+
+
 def test_signatures_meet_for_every_link():
     rng = np.random.default_rng(3)
     for _ in range(150):
