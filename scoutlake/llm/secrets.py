@@ -21,12 +21,19 @@ from pyspark.sql import functions as F
 
 from scoutlake.llm import shared
 
+#: A private key from its BEGIN line through its END line; where that is missing, over the header and base64 lines that follow.
+_PEM = (
+    r"-----BEGIN (?P<label>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
+    r"(?:(?:[^-]|-(?!----BEGIN ))*?-----END (?P=label)-----"
+    r"|(?:(?:[\s>]|\\[nr])+(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash):[^\r\n\\]*|[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/]+={1,2})"
+    r"|(?:\r?\n|\r|\\r\\n|\\[nr])[\x20\t>]*[A-Za-z0-9+/=]+[\x20\t]*(?=[\r\n]|\\[nr]|\Z))*)"
+)
 #: kind: version, words (lower-cased) of which a text must have one, pattern, least length of the value, the value's group.
 RULES: dict[str, tuple[int, tuple[str, ...], str, int, int]] = {
     "assign": (1, ("password", "passwd", "secret", "token", "apikey", "api_key"), r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     "access": (1, ("akia",), r"AKIA[A-Z0-9]+", 18, 0),
     "hex": (1, (), r"[0-9a-f]{16,}", 16, 0),
-    "pem": (1, ("private key",), r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 0),
+    "pem": (2, ("private key",), _PEM, 0, 0),
     "jwt": (1, ("eyj",), r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
     "forge": (1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
 }

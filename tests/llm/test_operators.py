@@ -198,6 +198,22 @@ def test_secrets(spark, docs, none):
     assert clean.filter("text is null").count() == 2
 
 
+def test_whole_private_keys_are_redacted(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEAx7Vn+kq/3JZ" + "Qz" * 18] * 3 + ["Ab3="])
+    begin = "-----BEGIN {}PRIVATE KEY-----"
+    key = lambda label, inner: f"{begin.format(label)}\n{inner}\n-----END {label}PRIVATE KEY-----"
+    label = "SOME VERY LONG LABEL OF A KEY 2 "
+    texts = [f"before {key('RSA ', body)} after", f"before {key(label, body)} after", f"before {key('', 'Proc-Type: 4,ENCRYPTED' + chr(10) * 2 + body)} after"]
+    texts += [f"before {key('EC ', body)} after".replace("\n", "\\n"), f"before {begin.format('')}\n{body}\n after it", f"before {begin.format('EC ')}\nDEK-Info: A,0\n\n{body}", f"before {begin.format('').replace('BEGIN', 'NO')} after"]
+    texts.append(f"{key('', body)} between {key('', body)} and {begin.format('')} only {key('DSA ', body)}")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    clean = [t for _, t in rows(secrets.redacted(table), "doc_id", "text")]
+    mark = secrets.MARK
+    assert clean[:4] == [f"before {mark} after"] * 4
+    assert clean[4:7] == [f"before {mark}\n after it", f"before {mark}", texts[6]]
+    assert clean[7] == f"{mark} between {mark} and {mark} only {mark}"
+
+
 # 7
 
 
