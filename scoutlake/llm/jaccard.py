@@ -12,8 +12,13 @@ that occurs, outnumber n - t: then two linked documents must share a signature.
 Work. A document's first shingles by hash are enough while they hold n - t + 1 rare ones; only the others are read again, in
 whole. A document is first held against one head of its signatures, then against those heads that lie in other components;
 then only pairs from different components of one signature are verified, and of these only those whose sizes, less the
-shingles that nobody else has, leave room for a link. No link that could join two components is left out, and the members of
-a large group of copies do not meet pairwise.
+shingles that nobody else has, leave room for a link. No link that could join two components is left out.
+
+Large signatures. The members of a signature of more than LARGE members do not meet in it if they are of one family, see
+`_families`: its sets are written as differences from the shingles that most of it hold. Two sets link when their differences
+differ in at most 1 / 9 of their sizes' sum. Sets near enough to the family's center link with its nearest set, one row each;
+any other link needs differences that both sets share, and those are joined by prefixes again. So the members of a large
+group of near copies do not meet pairwise, and none of their links is lost. Members of different families meet.
 
 Defined results: a null or empty text has an empty set and links with nothing; fewer than five words are one shingle;
 documents with one id are rows of their own, and each goes with its text; a null id is never a component's id unless all
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ PERCENT = 80
 FREQUENT = 16
 #: About how many frequent shingles of a prefix fall into one class.
 CLASS_SIZE = 6
+#: A signature of more members is looked at by differences; within a smaller one members may meet.
+LARGE = 2 * FREQUENT
 
 
 def needed(n, percent: int = PERCENT):
@@ -200,7 +208,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
     base = _hashed(docs, shingle, percent, whole=False)
     base = shared.written(base.withColumn("row", F.monotonically_increasing_id()), "sets")
     sets = base.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    sets = shared.written(sets.select("digest", F.col("least.row").alias("node"), F.col("least.id").alias("id"), "n"), "nodes")
+    sets = shared.written(sets.select("digest", F.col("least.row").alias("node"), F.col("least.id").alias("id"), "n", "copies"), "nodes")
     copies = shared.written(base.filter("n > 0").select("row").join(sets.select(F.col("node").alias("row")), "row", "left_anti"), "copies")
     firsts = base.filter("n > 0").join(shared.checked_broadcast(copies), "row", "left_anti").withColumnRenamed("row", "node")
     nodes = firsts.select("node", "n", F.posexplode("hashes").alias("pos", "hash"))
@@ -216,7 +224,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
     want = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = F.least(F.col("n"), want + F.floor(want / 3) + 2)  # as _looked_at
     few = common.filter(first - F.size(F.filter("common", lambda c: (c["pos"] < first) & (c["shown"] > frequent))) < want)
-    few = shared.written(few.select("node").join(sets, "node"), "few")
+    few = shared.written(few.select("node").join(sets.drop("copies"), "node"), "few")
     full = _whole_sets(docs, few, shingle, percent, "whole")
     more = full.select(F.explode("hashes").alias("hash")).groupBy("hash").count().filter(F.col("count") > frequent).select("hash")
     often = shared.written(often.union(more).distinct().select("hash", F.lit(True).alias("is_often")), "often")
@@ -240,12 +248,15 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = S
     light = _light_signatures(light, percent)
     signed = shared.written(_signed(heavy, percent).unionByName(light), "signed")
 
-    linked = _verified_links(docs, sets, firsts.select("node", "n", "hashes"), signed, shingle, percent)
+    linked = _verified_links(docs, sets, firsts.select("node", "n", "hashes"), signed, full, shingle, percent)
     roots = components(linked)
-    named = sets.join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("digest").alias("set_digest"), "component_id", "root")
-    out = base.select("id", "text_key", "n", "digest", "row").join(named, (F.col("n") > 0) & (F.col("digest") == F.col("set_digest")), "left")
+    named = sets.join(roots, "node", "left").select("digest", "id", "copies", F.coalesce("root", "node").alias("root"))
+    named = shared.written(named, "named")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    named = shared.spread_join(named, shared.written(least, "least"), "root")
+    named = shared.written(named.select("digest", "component_id", "root", F.col("copies").alias("held")), "named")
+    texts = base.select("id", "text_key", "n", "digest", "row")
+    out = shared.spread_join(texts.filter("n > 0"), named, "digest").unionByName(texts.filter("n = 0"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_column), "text_key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "row", F.coalesce("root", "row").alias("root"))
 
 
@@ -306,39 +317,126 @@ def _links_of(docs: DataFrame, sets: DataFrame, firsts: DataFrame, pairs: DataFr
     return shared.written(_linked(open_pairs, whole, percent), "links")
 
 
-def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links enough to join every component: each candidate against the first of all its signatures' heads, then against those
-    heads that lie in other components, then candidates of one signature across components."""
+@dataclass
+class Families:
+    """What large signatures give: links, pairs to verify, and the rows of signatures of several families: node, family, main."""
+
+    links: DataFrame
+    pairs: DataFrame
+    mixed: DataFrame
+
+
+def _families(signed: DataFrame, large: DataFrame, whole: DataFrame, percent: int) -> Families:
+    """Links and pairs enough for all components within the families of large signatures (sign, head: score, most, n, node).
+
+    A set's family is the best head of its large signatures. The family's base holds the shingles of most of its sets; a set's
+    change is what it has beyond the base or lacks of it, r shingles. With a = 100 + percent and b = 100 - percent, x and y
+    link when a * |difference of x and y| <= b * (n_x + n_y). Let f = a * r - b * n.
+    * f(x) + f(y) <= 0 is a link, whatever they share. Then both link with the set of least f as well: one link a set.
+    * Otherwise they must share (f(x) + f(y)) / 2a of their changes. Changes that one set has alone are shared with none: with
+      q = a * (r - 2 * shared ones) - b * n, also q(x) + f(y) <= 0 and f(x) + q(y) <= 0. Sets for which no partner in the
+      family can satisfy that leave; the others meet where prefixes of their changes, rarest first, have one in common.
+    * A set further from the base than half its size is a family of its own beside that, and so meets all others.
+    """
+    a, b = 100 + percent, 100 - percent
+    inside = signed.join(large, "sign").select("sign", "node", "n", "most", "score", "head")
+    family = shared.written(inside.groupBy("node").agg(F.max("head").alias("head")).select("node", F.col("head.node").alias("family")), "families")
+    members = whole.join(shared.checked_broadcast(family), "node").select("family", "node", "n", "hashes")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    held = members.select("family", F.explode("hashes").alias("hash")).groupBy("family", "hash").agg(F.count(F.lit(1)).alias("held"))
+    base = held.join(sizes, "family").filter(F.col("held") * 2 > F.col("members")).groupBy("family").agg(F.collect_list("hash").alias("base"))
+    base = shared.written(sizes.join(base, "family", "left").select("family", F.coalesce("base", F.array().cast("array<bigint>")).alias("base")), "bases")
+    entries = base.agg(F.sum(F.size("base") + 10)).first()[0] or 0
+
+    def sent(of_families: DataFrame) -> DataFrame:
+        return F.broadcast(of_families) if entries <= shared.BROADCAST_ROWS else of_families
+
+    change = F.concat(F.array_except("hashes", "base"), F.array_except("base", "hashes"))
+    placed = members.join(sent(base), "family").select("family", "node", "n", change.alias("change"), F.size("base").alias("b"))
+    placed = placed.withColumn("r", F.size("change")).withColumn("f", a * F.col("r") - b * F.col("n"))
+    placed = shared.written(placed.withColumn("far", 2 * F.col("r") > F.col("b")), "placed")
+    near = placed.filter(2 * percent * F.col("r") <= percent * F.col("b") + 2 * b * F.col("n"))
+
+    changes = near.select("family", "node", F.explode("change").alias("token"))
+    often = shared.written(changes.groupBy("family", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "changes")
+    common = changes.join(shared.checked_broadcast(often), ["family", "token"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("common"))
+    near = near.drop("change").join(common, "node", "left").withColumn("m", F.when(F.col("common").isNull(), 0).otherwise(F.size("common")))
+    near = shared.written(near.withColumn("q", a * (F.col("r") - 2 * F.col("m")) - b * F.col("n")), "near")
+    lead = near.groupBy("family").agg(F.min(F.struct("f", "node")).alias("lead"), F.min("q").alias("q_min"))
+    led = near.join(sent(lead.select("family", F.col("lead.f").alias("f_min"), F.col("lead.node").alias("lead"), "q_min")), "family")
+    links = led.filter((F.col("f") + F.col("f_min") <= 0) & (F.col("node") != F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    alive = (F.col("f") + F.col("f_min") > 0) & (F.col("f") + F.col("q_min") <= 0) & (F.col("q") + F.col("f_min") <= 0)
+    led = led.withColumn("alive", alive)
+    led = led.join(sent(led.filter("alive").groupBy("family").agg(F.min("f").alias("f_alive"), F.min("q").alias("q_alive"))), "family")
+    partner = (F.col("f") + F.col("q_alive") <= 0) & (F.col("q") + F.col("f_alive") <= 0)
+
+    def prefixes(some: DataFrame, bound: str) -> DataFrame:
+        share = F.greatest(F.lit(1), F.ceil((F.col("f") + F.col(bound)) / (2 * a))).cast("int")
+        some = some.withColumn("length", F.col("m") - share + 1).filter("length > 0")
+        return some.select("family", "node", "f", "q", "alive", F.explode(F.slice("common", 1, F.col("length"))).alias("x")).withColumn("token", F.col("x.token")).drop("x")
+
+    right = prefixes(led.filter(partner), "f_alive").select("family", "token", *(F.col(c).alias(f"other_{c}") for c in ("node", "f", "q", "alive")))
+    possible = (F.col("q") + F.col("other_f") <= 0) & (F.col("f") + F.col("other_q") <= 0)
+    once = F.when(F.col("other_alive"), F.col("node") < F.col("other_node")).otherwise(True)
+    pairs = prefixes(led.filter("alive"), "f_min").join(right, ["family", "token"]).filter(possible & once)
+    pairs = pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+    own = placed.select("node", F.when(F.col("far"), F.col("node")).otherwise(F.col("family")).alias("family"))
+    several = inside.drop("head").join(shared.checked_broadcast(shared.written(own, "own")), "node")
+    counted = several.groupBy("sign", "family").agg(F.count(F.lit(1)).alias("times")).groupBy("sign").agg(F.max(F.struct("times", "family")).alias("main"), F.count(F.lit(1)).alias("families"))
+    mixed = several.join(shared.checked_broadcast(shared.written(counted.filter("families > 1").select("sign", F.col("main.family").alias("main")), "mains")), "sign")
+    return Families(shared.written(links, "family-links"), shared.written(pairs, "family-pairs"), shared.written(mixed, "mixed"))
+
+
+def _verified_links(docs: DataFrame, sets: DataFrame, firsts: DataFrame, signed: DataFrame, whole: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links enough to join every component: those within families of large signatures; in the other signatures each candidate
+    against the first of all its signatures' heads, then against those heads that lie in other components, then candidates of
+    one signature across components."""
     near = F.col("n") * 100 >= F.col("other_n") * percent
     near = near & (F.col("other_n") * 100 >= F.col("n") * percent)
-    enough = F.least("most", "other_most") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+    both = F.col("n") + F.col("other_n")
+    enough = F.least("most", "other_most") * (100 + percent) >= both * percent
+    enough = enough & ((both - F.col("most") - F.col("other_most")) * (100 + percent) <= both * (100 - percent))
     near = near & ((F.col("score") == 0) | (F.col("other_score") == 0) | enough)
-    heads = signed.groupBy("sign").agg(F.max(F.struct("score", "most", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    heads = heads.select("sign", *(F.col(f"head.{c}").alias(o) for c, o in (("node", "other"), ("n", "other_n"), ("most", "other_most"), ("score", "other_score"))))
-    shown = shared.written(signed.join(heads, "sign"), "shown")
-    met = near & (F.col("node") != F.col("other"))
-    best = shown.filter(met).groupBy("node").agg(F.max(F.struct("other_score", "other_most", "other_n", "other")).alias("head"))
-    firstly = shared.written(best.select(F.col("node").alias("a"), F.col("head.other").alias("b")), "firstly")
-    links = _links_of(docs, sets, firsts, firstly, shingle, percent)
+
+    def beside(rows: DataFrame, *more: str) -> DataFrame:
+        names = {"node": "other", "n": "other_n", "most": "other_most", "score": "other_score", "root": "other_root", "family": "other_family"}
+        return rows.select("sign", *(F.col(c).alias(names[c]) for c in ("node", "n", "most", "score", *more)))
+
+    heads = signed.groupBy("sign").agg(F.max(F.struct("score", "most", "n", "node")).alias("head"), F.count(F.lit(1)).alias("members"), F.min("score").alias("least")).filter("members > 1")
+    heads = shared.written(heads, "heads")
+    # light sets, of score 0, are not at hand in whole; their signatures are rare shingles, so they are few
+    is_large = (F.col("members") > LARGE) & (F.col("least") > 0)
+    large = shared.checked_broadcast(shared.written(heads.filter(is_large).select("sign", "head"), "large"))
+    families = _families(signed, large, whole, percent)
+    shown = shared.written(signed.join(beside(heads.filter(~is_large).select("sign", "head.*")), "sign"), "shown")
+    met = shown.filter(near & (F.col("node") != F.col("other")))
+    best = met.groupBy("node").agg(F.max(F.struct("other_score", "other_most", "other_n", "other")).alias("head"))
+    firstly = shared.written(best.select(F.col("node").alias("a"), F.col("head.other").alias("b")).union(families.pairs), "firstly")
+    links = families.links.union(_links_of(docs, sets, firsts, firstly, shingle, percent))
+
     roots = shared.checked_broadcast(components(links))
     others = roots.select(F.col("node").alias("other"), F.col("root").alias("other_root"))
-    apart = F.coalesce("root", "node") != F.coalesce("other_root", "other")
-    rest = shown.filter(met).join(roots, "node", "left").join(others, "other", "left").filter(apart)
+    rest = met.join(roots, "node", "left").join(others, "other", "left").filter(F.coalesce("root", "node") != F.coalesce("other_root", "other"))
     rest = rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(firstly, ["a", "b"], "left_anti")
     rest = shared.written(rest, "pairs")
     links = links.union(_links_of(docs, sets, firsts, rest, shingle, percent))
-    pairs = firstly.union(rest)
-
-    roots = components(links)
-    placed = shown.join(roots, "node", "left").select("sign", "node", "n", "most", "score", F.coalesce("root", "node").alias("root"))
-    placed = shared.written(placed, "placed")
-    mixed = placed.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sign")
-    placed = shared.written(placed.join(mixed, "sign"), "mixed")
-    other = placed.select("sign", *(F.col(c).alias(o) for c, o in (("node", "other"), ("n", "other_n"), ("most", "other_most"), ("score", "other_score"), ("root", "other_root"))))
-    across = placed.join(other, "sign").filter((F.col("root") < F.col("other_root")) & near)
-    across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    tried = pairs.union(pairs.select("b", "a"))
-    across = shared.written(across.join(tried, ["a", "b"], "left_anti"), "across")
+
+    roots = shared.checked_broadcast(components(links))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    placed = shared.written(rooted(shown.select("sign", "node", "n", "most", "score")), "rooted")
+    apart = placed.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sign")
+    placed = placed.join(apart, "sign")
+    across = placed.join(beside(placed, "root"), "sign").filter((F.col("root") < F.col("other_root")) & near)
+    mixed = rooted(families.mixed)
+    beyond = mixed.filter("family <> main").join(beside(mixed, "root", "family"), "sign")
+    beyond = beyond.filter((F.col("family") != F.col("other_family")) & (F.col("root") != F.col("other_root")) & near)
+    across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).union(beyond.select(F.least("node", "other"), F.greatest("node", "other"))).distinct()
+    tried = firstly.union(rest)
+    across = shared.written(across.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "across")
     return links.union(_links_of(docs, sets, firsts, across, shingle, percent))
 
 
@@ -346,8 +444,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataF
     """The rows of docs, with all their columns, of which no linked row has a lesser id; one of equal rows. Rows without words stay."""
     found = shared.written(link_components(docs, id_column, **settings).filter("n_shingles > 0"), "components")
     key = F.struct(F.col(id_column).isNull(), F.col(id_column).alias("id"), F.col("text_key").alias("key"))
-    first = found.groupBy("root").agg(F.min(key).alias("first"))
-    named = found.join(first, "root").withColumn("stays", (F.col("first.key") == F.col("text_key")) & F.col("first.id").eqNullSafe(F.col(id_column)))
+    first = shared.written(found.groupBy("root").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1"), "first")
+    named = shared.spread_join(found, first, "root").withColumn("first", F.coalesce("first", key))
+    named = named.withColumn("stays", (F.col("first.key") == F.col("text_key")) & F.col("first.id").eqNullSafe(F.col(id_column)))
     named = named.groupBy(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     named = shared.written(named.filter(~F.col("stays") | (F.col("times") > 1)), "others")
     same = docs[id_column].eqNullSafe(named["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(named["_key"])
