@@ -5,8 +5,9 @@ symbols by rank gives these two tokens again. An Aho-Corasick automaton finds th
 encoder takes the longest, steps back to a shorter one where no compatible token follows, and marks places that lead
 nowhere, so each place is left once. Compatible pairs are kept in a table as they are met.
 
-The vocabulary's file is a parameter. Its normaliser and pre-tokeniser are followed exactly: for letters up to U+024F by a
-pattern of our own, for all others by the file's own steps (the library runs these two, never the merges).
+The vocabulary's file is a parameter. Its normaliser and pre-tokeniser are followed exactly: for letters up to U+024F by
+`pretokens`, for all others by the file's own steps (the library runs these two, never the merges). A worker remembers
+bounded numbers of pre-tokens and pairs, then forgets them all.
 
 Defined results: a null text is empty and has no ids; special tokens in a text are found as the library finds them; an empty
 table gives an empty table; repeated rows are encoded alike; other columns are kept by `encoded`.
@@ -27,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens that a worker remembers; then it forgets them all.
-REMEMBERED = 150_000
+from scoutlake.llm import pretokens, shared
+
+#: Pre-tokens that a worker remembers, and pairs of tokens; then it forgets them all.
+REMEMBERED, PAIRS = 1_000_000, 1_000_000
 #: One character for the end of a pre-token, outside the 256 that stand for bytes.
 _END = ""
 _NEVER = 1 << 60
-_UNUSUAL = regex.compile(r"[^\t\n\r -~ -ɏ]")
-_USUAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
 
 def byte_letters() -> list[str]:
     """The character that stands for each byte: itself if it prints, else one from U+0100 on, in order."""
@@ -62,16 +62,21 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        pieces = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
-        self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.pieces = self._table([names.get(i, "") + " " for i in range(max(names) + 1)])
+        self.decimals = self._table([f"{i} " for i in range(max(names) + 1)])
         self.automaton = ahocorasick.Automaton()
         for token in self.ids:
             self.automaton.add_word(token, token)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.memory = pretokens.Memory([np.int32], REMEMBERED)
+
+    @staticmethod
+    def _table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces as one array of bytes, and where each begins (and ends)."""
+        made = [p.encode() for p in pieces]
+        return np.frombuffer(b"".join(made), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in made])))
 
     def _own(self, token: str) -> str:
         return token[: -len(self.suffix)] + _END if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix) else token
@@ -99,6 +104,8 @@ class Vocabulary:
                 found = self.whole[right] = self.merged(right) == [right]
             return found
         if (found := self.pairs.get((left, right))) is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             found = self.pairs[left, right] = self.compatible(None, right) and self.merged(left + right) == [left, right]
         return found
 
@@ -131,49 +138,47 @@ class Vocabulary:
                 at -= len(path.pop())
         return path
 
-    def encode_word(self, word: str) -> tuple[list[int], str]:
-        """The ids of a pre-token given as mapped bytes, and the same as text."""
-        ids = [self.ids[t] for t in self.split(word + _END if self.suffix else word)]
-        return ids, " ".join(map(str, ids))
-
-    def _segment(self, text: str, ids: list[int], listed: list[str]) -> None:
-        if _UNUSUAL.search(text) is None:
-            words = _USUAL.findall(text.lower())
-            mapped = False
-        else:
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-            mapped = True
-        known = self.known
-        for word in words:
-            key = _END + word if mapped else word
-            found = known.get(key)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[key] = self.encode_word(word if mapped else "".join(map(self.letters.__getitem__, word.encode())))
-            ids.extend(found[0])
-            listed.append(found[1])
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and the ids as decimal text joined by spaces."""
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a pre-token given as mapped bytes."""
+        return [self.ids[t] for t in self.split(word + _END if self.suffix else word)]
+
+    def _new(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [self.encode_word("".join(map(self.letters.__getitem__, w.encode()))) for w in words]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        return [(np.fromiter((i for x in found for i in x), np.int32, int(bounds[-1])), bounds)]
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text, by the file's own normaliser and pre-tokeniser."""
         ids: list[int] = []
-        listed: list[str] = []
         at = 0
-        for m in self.special_pattern.finditer(text) if self.special_pattern else ():
-            self._segment(text[at : m.start()], ids, listed)
-            ids.append(self.special[m.group()])
-            listed.append(str(ids[-1]))
-            at = m.end()
-        self._segment(text[at:] if at else text, ids, listed)
-        return ids, " ".join(listed)
+        parts = [(m.start(), m.end()) for m in (self.special_pattern.finditer(text) if self.special_pattern else ())]
+        for first, last in [*parts, (len(text), len(text))]:
+            for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text[at:first])):
+                ids += self.encode_word(word)
+            if last > first:
+                ids.append(self.special[text[first:last]])
+            at = last
+        return ids
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and where each text's begin."""
+        tokens = pretokens.pretokens(texts, lowered=True, marks=list(self.special))
+        ids, sizes = self.memory.values(0, self.memory.find(tokens, self._new))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[tokens.bounds]
+        odd = np.flatnonzero(tokens.unusual).tolist()
+        return pretokens.put_in(ids, bounds, odd, [self.encode(texts[i].as_py()) for i in odd])
+
+    def texts(self, table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """For each text its ids' pieces, cut from a table by their offsets, joined by spaces."""
+        flat, offsets = table
+        sizes = offsets[ids + 1] - offsets[ids]
+        out = pretokens.laid_out(flat, offsets[ids], sizes)
+        at = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
+        return [out[a : max(a, b - 1)].tobytes() for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' texts joined by spaces, cut from one table by their offsets."""
-        if not len(ids):
-            return b""
-        starts, sizes = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(sizes)
-        return self.bytes[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)].tobytes()[:-1]
+        """The tokens' texts joined by spaces."""
+        return self.texts(self.pieces, ids, np.array([0, len(ids)]))[0]
 
 
 @functools.lru_cache(2)
@@ -185,18 +190,12 @@ def _encode_batches(path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                ids, id_hashes, text_hashes = [], [], []
-                for text in batch.column("_text").to_pylist():
-                    found, listed = vocabulary.encode(text or "")
-                    ids.append(np.array(found, np.int32))
-                    id_hashes.append(hashlib.sha256(listed.encode()).hexdigest())
-                    text_hashes.append(hashlib.sha256(vocabulary.decode(ids[-1])).hexdigest())
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                columns = [batch.column(k) for k in keep]
-                columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))))
+            for batch in shared.steps(whole, "_text"):
+                ids, bounds = vocabulary.encode_all(batch.column("_text"))
+                columns = [batch.column(k) for k in keep] + [pa.array(np.diff(bounds), pa.int64())]
+                for table in (vocabulary.decimals, vocabulary.pieces):
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in vocabulary.texts(table, ids, bounds)], pa.string()))
+                columns.append(shared.lists(ids, bounds))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return run

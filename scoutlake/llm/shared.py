@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 #: A list of ids or hashes goes to every task only up to this many entries (8 bytes each); beyond it, tables are joined.
 BROADCAST_ROWS = 1_000_000
+#: A key of more rows than this is joined apart from the others.
+HOT_ROWS = 1000
 #: Text that one numpy step takes at once; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
 
 _U = np.uint64
+#: One random value for each byte at each of a word's first places.
+_PLACES = 64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
+_AT_PLACE = np.random.default_rng(20240229).integers(1, 1 << 63, _PLACES * 256, dtype=np.uint64) * _U(2) + _U(1)
 _GRAM = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,12 +42,21 @@ ALNUM = _mask("".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of ours on one machine.
+
+    On a cluster without that setting it raises: no executor would find what another wrote.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scoutlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if _own.get("application") != spark.sparkContext.applicationId:
+        _own.update(application=spark.sparkContext.applicationId, path="file://" + tempfile.mkdtemp(prefix="scoutlake-"))
+    return _own["path"]
+
+
+_own: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -84,6 +96,18 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right (written; one row a key, held: how many rows of left have it) but held, as a left join.
+
+    Rows of keys that HOT_ROWS rows have meet a copy of right's row where they are, so no task gets a hot key's rows; there
+    is at most one such key for each HOT_ROWS rows. All others are joined as Spark finds best.
+    """
+    hot = checked_broadcast(right.filter(F.col("held") > HOT_ROWS).drop("held"))
+    cold = right.filter(F.col("held") <= HOT_ROWS).drop("held")
+    meets = left.join(hot, key)
+    return left.join(hot.select(key), key, "left_anti").join(cold, key, "left").unionByName(meets)
+
+
 def fold_crc(column: str, modulus: int) -> Column:
     """crc32(id as text) mod modulus; -1 for a null id, which so belongs to the training part of every split by one remainder."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
@@ -125,19 +149,22 @@ class Words:
         return mix(total + _U(k)), np.arange(n) + k <= last
 
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
-
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A word's hash: the sum over its bytes of a random value for the byte at its place in the word, and its length, spread.
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, _BASE_INVERSE):
-            steps = np.full(max(n, STEP_BYTES), base, _U)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        _powers = (made[0], made[1])
-    return _powers
+    The values of different places have nothing to do with each other, so no two words collide by their form alone.
+    """
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    key = (place << 8) | data[np.repeat(starts, sizes) + place]
+    if int(sizes.max()) <= _PLACES:
+        values = _AT_PLACE[key]
+    else:
+        values = _AT_PLACE[np.minimum(key, len(_AT_PLACE) - 1)]
+        late = key >= len(_AT_PLACE)
+        values[late] = mix(mix(key[late].astype(_U) + _BASE) ^ _BASE)
+    return mix(np.add.reduceat(values, first) + sizes.astype(_U) * _BASE)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +198,7 @@ def words_of(texts: pa.Array, inside: np.ndarray, lower: bool) -> Words:
     after[-1] = False
     after[:-1] = is_word[1:]
     ends = np.flatnonzero(is_word & (~after | cut[1:])) + 1
-    power, inverse = _power_tables(n)
-    sums = np.empty(n + 1, _U)
-    sums[0] = 0
-    np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = _word_hashes(data, starts, ends) if len(starts) else np.zeros(0, _U)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, at))
 
 

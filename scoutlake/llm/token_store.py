@@ -1,14 +1,15 @@
 """Token ids as files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Model. Within a block an id is one of 16 events: the id that last followed the two ids before it (order 2), the id that last
-followed the one before it (order 1), an id not yet seen in the block (its number follows), or a seen id (order 0), by the
-place at which the block first showed it: the place's bit length is the event, its lower bits follow. Three predictors give
-the event's probability: its frequency in the block, its frequency after the order-1 state and after the order-2 state
-(no candidate, candidate that failed last, candidate that held last). They are mixed by weights that follow how much
-probability each gave to what came. All is integer arithmetic, so any machine decodes what another wrote.
+Model. A frame lists its ids by falling frequency; an id's rank in this list is its symbol. Within a block a symbol is one of
+16 events: the symbol that last followed the two before it (order 2), the one that last followed the one before it (order 1),
+or its rank's bit length (order 0), whose lower bits follow. Three predictors give the event's probability: its frequency in
+the block, its frequency after the order-1 state and after the order-2 state (no candidate, candidate that failed last,
+candidate that held last). They are mixed by weights that follow how much probability each gave to what came. All is integer
+arithmetic, so any machine decodes what another wrote.
 
-Blocks of one frame are coded side by side as numpy vectors, one id of every block a step. A block starts with an empty
-model, and carries its number of words and their crc32, which is checked before it is decoded.
+Blocks of one frame are coded side by side as numpy vectors, one symbol of every block a step. A block starts with an empty
+model, and carries its number of words and their crc32, which is checked before it is decoded; the list of ids has its own.
+Ids beyond the 65535 commonest of a frame share one symbol and follow in whole beside the list.
 
 Files. Documents are dealt by ascending id over partitions (shards); a shard is a sequence of frames, rows of a Parquet table
 with whole documents: ids, token counts, the tokens before them in the shard, and the blocks. Frames are bounded by
@@ -21,7 +22,7 @@ texts' hashes; rows with a null id come first; an empty table gives an empty tab
 from __future__ import annotations
 
 import functools
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,82 +32,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutlake.llm import shared
+from scoutlake.llm import pretokens, shared
 
 END_ID = 0
 #: Tokens of a frame, and blocks that are coded side by side.
 FRAME, GROUP = 4 << 20, 1024
 #: Pre-tokens that a worker remembers; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _SYMBOLS, _STATES, _BITS = 16, 3, 15
-_HIT2, _HIT1, _NEW, _SEEN = 0, 1, 2, 3
-#: Bits that follow each event.
-_EXTRA = np.array([0, 0, 16, 0, *range(12)], np.uint64)
+_HIT2, _HIT1, _RANK = 0, 1, 2
+#: Bits that follow each event: none for hits and rank 0, all 16 of ranks of more than 12 bits.
+_EXTRA = np.array([0, 0, 0, *range(12), 16], np.uint64)
+#: The symbol of ids that are not listed.
+_RARE = (1 << 16) - 1
+#: A block's model is renewed after so many symbols at most.
+_RENEWED = 512
 _SLOTS = 12
 _WORD = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _U = np.uint64
 
-# letters, numbers and marks of the characters that most texts are made of; all others go through the library as a whole
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-_USUAL = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_UNUSUAL = re.compile("[^\t\n\r -~ -ɏ]")
-
-
-class _Numbers(dict):
-    """Numbers pre-tokens in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        found = self[word] = len(self)
-        return found
-
 
 class TextEncoder:
     """A tokenizer file's ids of whole texts: each distinct pre-token goes through the library once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = list(t.content for t in self.library.get_added_tokens_decoder().values())
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self) -> None:
-        """Asks the library for the pre-tokens that have a number but no ids."""
-        new = list(self.numbers)[len(self.sizes) :] if len(self.numbers) > len(self.sizes) else []
-        for at in range(0, len(new), 20_000):
-            found = [x.ids for x in self.library.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            starts = len(self.flat) + np.cumsum(sizes) - sizes
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))))
-            self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        parts: list[np.ndarray | None] = []
-        for text in texts:
-            if _UNUSUAL.search(text) or any(s in text for s in self.special):
-                parts.append(None)
-            else:
-                words = _USUAL.findall(text)
-                parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        self._learn()
-        out = []
-        for text, words in zip(texts, parts, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            sizes = self.sizes[words]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - ends + sizes, sizes)])
-        return out
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.memory = pretokens.Memory([np.uint32], REMEMBERED)
+
+    def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts by the library, and where each text's begin."""
+        found = [x.ids for at in range(0, len(texts), 20_000) for x in self.library.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+        return [(np.fromiter((i for x in found for i in x), np.uint32, int(bounds[-1])), bounds)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, and where each text's begin."""
+        tokens = pretokens.pretokens(texts, lowered=False, marks=self.special)
+        ids, sizes = self.memory.values(0, self.memory.find(tokens, self._ids))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[tokens.bounds]
+        odd = np.flatnonzero(tokens.unusual).tolist()
+        return pretokens.put_in(ids, bounds, odd, [self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in odd])
 
 
 @functools.lru_cache(2)
@@ -152,7 +123,7 @@ def _windows(length: int) -> list[tuple[int, int]]:
     """The spans between which the model is renewed: short at first."""
     edges = [0, 32, 64]
     while edges[-1] < length:
-        edges += [edges[-1] * 3 // 2, edges[-1] * 2]
+        edges += [edges[-1] * 3 // 2, edges[-1] * 2] if edges[-1] < _RENEWED else [edges[-1] + _RENEWED]
     edges = sorted({min(e, length) for e in edges})
     return list(zip(edges, edges[1:], strict=False))
 
@@ -182,23 +153,6 @@ def _before(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return candidate, states
 
 
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each id is new in its block, and the number of its first showing among the new ones."""
-    rows, length = ids.shape
-    order = np.argsort(ids.astype(np.uint16), axis=1, kind="stable")
-    sorted_ids = np.take_along_axis(ids, order, 1)
-    head = np.ones((rows, length), bool)
-    head[:, 1:] = sorted_ids[:, 1:] != sorted_ids[:, :-1]
-    new = np.zeros((rows, length), bool)
-    np.put_along_axis(new, order, head, 1)
-    number = np.cumsum(new, axis=1, dtype=np.int32) - 1
-    group = np.cumsum(head.ravel()) - 1
-    first = order.ravel()[head.ravel()] + np.repeat(np.arange(rows), head.sum(axis=1)) * length
-    place = np.empty((rows, length), np.int32)
-    np.put_along_axis(place, order, number.ravel()[first][group].reshape(rows, length), 1)
-    return new, place
-
-
 def _shifted(ids: np.ndarray, by: int) -> np.ndarray:
     out = np.zeros_like(ids)
     out[:, by:] = ids[:, :-by] if by < ids.shape[1] else 0
@@ -206,17 +160,16 @@ def _shifted(ids: np.ndarray, by: int) -> np.ndarray:
 
 
 def _encode_group(ids: np.ndarray) -> list[bytes]:
-    """The blocks of ids (rows of one length, below 2 ** 16)."""
+    """The blocks of symbols (rows of one length, below 2 ** 16)."""
     rows, length = ids.shape
     ids = ids.astype(np.int32)
     one, two = _shifted(ids, 1), _shifted(ids, 2)
     candidate1, state1 = _before(_slot(one, None), ids)
     candidate2, state2 = _before(_slot(one, two), ids)
-    new, place = _places(ids)
-    log = np.frexp(place.astype(np.float64))[1].astype(np.int32)  # the bit length; exact for small whole numbers
-    low = place - np.where(place > 0, np.left_shift(1, np.maximum(log - 1, 0)), 0)
-    events = np.where(candidate2 == ids, _HIT2, np.where(candidate1 == ids, _HIT1, np.where(new, _NEW, _SEEN + log)))
-    value = np.where(events == _NEW, ids, np.where(events >= _SEEN, low, 0))
+    log = np.frexp(ids.astype(np.float64))[1].astype(np.int32)  # the bit length; exact for small whole numbers
+    low = np.where(log > 12, ids, ids - np.where(ids > 0, np.left_shift(1, np.maximum(log - 1, 0)), 0))
+    events = np.where(candidate2 == ids, _HIT2, np.where(candidate1 == ids, _HIT1, _RANK + np.minimum(log, 13)))
+    value = np.where(events >= _RANK, low, 0)
     states = state2.astype(np.int64) * _STATES + state1
     mixer, at = _Mixer(rows), np.arange(rows)[:, None]
     below, width = np.empty((length, rows), _U), np.empty((length, rows), _U)
@@ -255,7 +208,7 @@ def _decode_group(blocks: list[bytes], length: int) -> np.ndarray:
     base, size = np.zeros(rows, _U), np.full(rows, (1 << 64) - 1, _U)
     off = (words[:, 0] << _WORD) | words[:, 1]
     tables = [np.zeros(rows << _SLOTS, np.int32) for _ in range(2)]  # state << 17 | id + 1
-    seen, n_seen = np.zeros((rows, length + 1), np.int32), np.zeros(rows, np.int64)
+    first_of = np.concatenate((np.zeros(_RANK + 1, np.int32), 1 << np.arange(12, dtype=np.int32), [0]))  # the least rank of an event
     slot_row = each << _SLOTS
     one, two = np.zeros(rows, np.int32), np.zeros(rows, np.int32)
     mixer, out = _Mixer(rows), np.empty((length, rows), np.int32)
@@ -282,14 +235,8 @@ def _decode_group(blocks: list[bytes], length: int) -> np.ndarray:
             moved += size * value
             off -= moved
             base += moved
-            value = value.astype(np.int64)
-            is_seen = event >= _SEEN
-            at_seen = np.where(is_seen, value + np.where(event > _SEEN, np.left_shift(1, np.maximum(event - _SEEN - 1, 0)), 0), 0)
-            ids = seen[each, np.minimum(at_seen, length)]
-            ids = np.where(is_seen, ids, np.where(event == _NEW, value, np.where(event == _HIT2, held2, held1) % (1 << 17) - 1)).astype(np.int32)
-            # an id that a candidate gave is seen already; the place after the last seen id is free to be written
-            seen[each, n_seen] = ids
-            n_seen += event == _NEW
+            ids = value.astype(np.int32) + first_of[event]
+            ids = np.where(event >= _RANK, ids, (np.where(event == _HIT2, held2, held1) & 0x1FFFF) - 1).astype(np.int32)
             kept = ids + 1
             tables[0][at1] = kept + ((1 + ((held1 & 0x1FFFF) == kept)) << 17)
             tables[1][at2] = kept + ((1 + ((held2 & 0x1FFFF) == kept)) << 17)
@@ -312,20 +259,34 @@ def block_length(tokens: int) -> int:
     return min(max(tokens, 1), 4096 if tokens >= 1 << 20 else 2048 if tokens >= 1 << 18 else 1024)
 
 
-def encode_ids(ids: np.ndarray) -> tuple[int, bytes]:
-    """The length of a block, and the blocks of ids (each: its number of bytes, their crc32, its bytes)."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids of 2 ** 16 and more do not fit this format")
+def encode_ids(ids: np.ndarray) -> tuple[int, bytes, bytes]:
+    """The length of a block, the list of ids, and the blocks of ids (each: its number of bytes, their crc32, its bytes)."""
+    most = int(ids.max()) if len(ids) else 0
+    if most < 1 << 22:
+        values, where = np.arange(most + 1, dtype=np.uint32), ids
+        counts = np.bincount(ids, minlength=most + 1)
+    else:
+        values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((values, -counts))[: np.count_nonzero(counts)]
+    rank = np.zeros(len(values), np.int32)
+    rank[order] = np.arange(len(order))
+    symbols = np.minimum(rank, _RARE)[where]
+    rare = ids[symbols == _RARE]
+    listed = zlib.compress(np.concatenate(([min(len(order), _RARE)], values[order][:_RARE], rare)).astype("<u4").tobytes(), 1)
     length = block_length(len(ids))
     padded = np.zeros(-(-len(ids) // length) * length, np.int32)
-    padded[: len(ids)] = ids
+    padded[: len(ids)] = symbols
     padded = padded.reshape(-1, length)
     made = [b for at in range(0, len(padded), GROUP) for b in _encode_group(padded[at : at + GROUP])]
-    return length, b"".join(len(b).to_bytes(4, "little") + zlib.crc32(b).to_bytes(4, "little") + b for b in made)
+    return length, zlib.crc32(listed).to_bytes(4, "little") + listed, b"".join(len(b).to_bytes(4, "little") + zlib.crc32(b).to_bytes(4, "little") + b for b in made)
 
 
-def decode_ids(data: bytes, length: int, tokens: int) -> np.ndarray:
-    """The ids of encode_ids' blocks; ValueError where a checksum is wrong."""
+def decode_ids(listed: bytes, data: bytes, length: int, tokens: int) -> np.ndarray:
+    """The ids of encode_ids' list and blocks; ValueError where a checksum is wrong."""
+    if zlib.crc32(listed[4:]) != int.from_bytes(listed[:4], "little"):
+        raise ValueError("the list of ids is damaged")
+    values = np.frombuffer(zlib.decompress(listed[4:]), "<u4")
+    known, rare = values[1 : values[0] + 1], values[values[0] + 1 :]
     blocks, at = [], 0
     while at < len(data):
         size, crc = (int.from_bytes(data[i : i + 4], "little") for i in (at, at + 4))
@@ -335,10 +296,13 @@ def decode_ids(data: bytes, length: int, tokens: int) -> np.ndarray:
         blocks.append(block)
         at += 8 + size
     parts = [_decode_group(blocks[i : i + GROUP], length).ravel() for i in range(0, len(blocks), GROUP)]
-    return np.concatenate([*parts, np.zeros(0, np.int32)])[:tokens].astype(np.uint32)
+    symbols = np.concatenate([*parts, np.zeros(0, np.int32)])[:tokens]
+    out = np.append(known, np.uint32(0))[np.minimum(symbols, len(known))]
+    out[symbols == _RARE] = rare
+    return out
 
 
-_FRAME = "shard int, nth int, before bigint, docs array<{id}>, sizes array<int>, n_tokens bigint, length int, blocks binary"
+_FRAME = "shard int, nth int, before bigint, docs array<{id}>, sizes array<int>, n_tokens bigint, length int, listed binary, blocks binary"
 
 
 def token_files(docs: DataFrame, vocabulary: str, path: str, id_column: str = "doc_id", end_id: int = END_ID, frame: int = FRAME) -> None:
@@ -349,29 +313,40 @@ def token_files(docs: DataFrame, vocabulary: str, path: str, id_column: str = "d
     schema = _FRAME.format(id=kind.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encoder, end = TaskContext.get().partitionId(), _encoder(vocabulary), np.array([end_id], np.uint32)
+        shard, encoder, end = TaskContext.get().partitionId(), _encoder(vocabulary), np.uint32(end_id)
         nth = before = total = 0
         held: list[np.ndarray] = []
+        sizes_held: list[np.ndarray] = []
         docs_held: list = []
 
         def made() -> pa.RecordBatch:
-            length, blocks = encode_ids(np.concatenate(held))
+            length, listed, blocks = encode_ids(np.concatenate(held))
             names = pa.concat_arrays(docs_held)
             columns = [pa.array([shard], pa.int32()), pa.array([nth], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)]
-            columns += [pa.array([[len(x) for x in held]], pa.list_(pa.int32())), pa.array([total], pa.int64()), pa.array([length], pa.int32()), pa.array([blocks], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "nth", "before", "docs", "sizes", "n_tokens", "length", "blocks"])
+            sizes = np.concatenate(sizes_held)
+            columns += [shared.lists(sizes, np.array([0, len(sizes)]), pa.int32()), pa.array([total], pa.int64()), pa.array([length], pa.int32()), pa.array([listed], pa.binary()), pa.array([blocks], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "nth", "before", "docs", "sizes", "n_tokens", "length", "listed", "blocks"])
 
         for whole in batches:
             for batch in shared.steps(whole):
-                ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
-                names = batch.column("doc")
-                for i, x in enumerate(ids):
-                    if total and total + len(x) >= frame:
+                ids, bounds = encoder.encode(batch.column("text"))
+                ids = np.insert(ids, bounds[1:], end)
+                bounds = bounds + np.arange(len(bounds))
+                sizes, names = np.diff(bounds), batch.column("doc")
+                first = 0
+                while first < len(sizes):
+                    # as many documents as the frame has room for, one at least
+                    last = int(np.searchsorted(bounds, bounds[first] + frame - total, "right")) - 1
+                    last = max(last, first + (total == 0))
+                    if last > first:
+                        held.append(ids[bounds[first] : bounds[last]])
+                        sizes_held.append(sizes[first:last].astype(np.int32))
+                        docs_held.append(names.slice(first, last - first))
+                        total += int(bounds[last] - bounds[first])
+                    if last < len(sizes):
                         yield made()
-                        before, nth, total, held, docs_held = before + total, nth + 1, 0, [], []
-                    held.append(np.concatenate((x, end)))
-                    docs_held.append(names.slice(i, 1))
-                    total += len(x) + 1
+                        before, nth, total, held, sizes_held, docs_held = before + total, nth + 1, 0, [], [], []
+                    first = last
         if held:
             yield made()
 
@@ -387,14 +362,14 @@ def read_files(spark: SparkSession, path: str, id_column: str = "doc_id") -> Dat
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, before, tokens, length = (batch.column(c)[i].as_py() for c in ("shard", "before", "n_tokens", "length"))
-                ids = decode_ids(batch.column("blocks")[i].as_buffer().to_pybytes(), length, tokens).astype("<u4")
+                ids = decode_ids(*(batch.column(c)[i].as_buffer().to_pybytes() for c in ("listed", "blocks")), length, tokens).astype("<u4")
                 sizes = batch.column("sizes")[i].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 columns = [batch.column("docs")[i].values, pa.array(np.full(len(sizes), shard, np.int32)), pa.array(before + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "shard", "at", "n_tokens", "ids_crc32"])
 
-    read = frames.select("shard", "before", "docs", "sizes", "n_tokens", "length", "blocks").mapInArrow(run, f"doc {kind}, shard int, at bigint, n_tokens bigint, ids_crc32 bigint")
+    read = frames.select("shard", "before", "docs", "sizes", "n_tokens", "length", "listed", "blocks").mapInArrow(run, f"doc {kind}, shard int, at bigint, n_tokens bigint, ids_crc32 bigint")
     totals = sorted((r["shard"], r["n"]) for r in frames.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each shard
     starts, total = [], 0
     for shard, n in totals:

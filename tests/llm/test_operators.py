@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,21 +68,54 @@ def library(name):
 # 1
 
 
-@pytest.mark.parametrize("n", [1, 2, 900, 5000, 70_000])
-def test_range_coder_round_trip(n):
-    ids = (np.random.default_rng(n).zipf(1.4, n) - 1) % 50257
+@pytest.mark.parametrize("n", [0, 1, 2, 900, 5000, 70_000])
+@pytest.mark.parametrize("most", [50257, 300_000, 1 << 31])
+def test_range_coder_round_trip(n, most):
+    ids = ((np.random.default_rng(n).zipf(1.2 if most > 1 << 20 else 1.4, n) - 1) % most).astype(np.uint32)
     ids[n // 2 :] = ids[: n - n // 2]
-    length, data = token_store.encode_ids(ids)
-    assert (token_store.decode_ids(data, length, n) == ids).all()
-    assert n < 900 or len(data) < 2 * n
+    length, listed, data = token_store.encode_ids(ids)
+    assert (token_store.decode_ids(listed, data, length, n) == ids).all()
+    assert n < 900 or most > 50257 or len(data) < 2 * n
+
+
+def test_mixing_orders_beats_the_share_of_ids_alone():
+    """Ids that often follow one another cost fewer bits, list and checksums included, than their frequencies alone say."""
+    rng = random.Random(3)
+    phrases = [[int(2000 * rng.random() ** 3) for _ in range(rng.randint(2, 9))] for _ in range(400)]
+    ids = np.array([x for _ in range(30_000) for x in phrases[int(400 * rng.random() ** 2)]], np.uint32)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    _, listed, data = token_store.encode_ids(ids)
+    assert 8 * (len(listed) + len(data)) / len(ids) < entropy
 
 
 def test_damaged_blocks_are_found():
-    length, data = token_store.encode_ids(np.arange(3000) % 700)
+    length, listed, data = token_store.encode_ids(np.arange(3000) % 700)
     broken = bytearray(data)
     broken[20] ^= 1
     with pytest.raises(ValueError, match="damaged"):
-        token_store.decode_ids(bytes(broken), length, 3000)
+        token_store.decode_ids(listed, bytes(broken), length, 3000)
+    with pytest.raises(ValueError, match="damaged"):
+        token_store.decode_ids(listed[:-1] + bytes([listed[-1] ^ 1]), data, length, 3000)
+
+
+def odd_texts():
+    rng = random.Random(6)
+    pieces = ["a", "Zé", "İ", "Ⱥx", "ǅ", "ß", "1", "23", "²", "½", " ", "  ", "\t", "\n\n", "\r\n", "\xa0", "\u2003", "'", "'s", "'S", "'ll", "'re'd", "n't", "''", "!", "?!", "«", "ª", "\x85", "\x7f", "漢", "😀", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|", "ʰ", "ɏ", "ɐ"]
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [None, ""]
+
+
+def test_pretokens_give_the_librarys_ids():
+    texts = odd_texts()
+    made = library("byte_bpe_50k.json")
+    ids, bounds = token_store.TextEncoder(token_store.vocabulary_path()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [made.encode(t or "", add_special_tokens=False).ids for t in texts]
+    made = library("word_bpe_49k.json")
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_path())
+    ids, bounds = vocabulary.encode_all(pa.array(texts))
+    found = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert found == [made.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [vocabulary.decode(np.array(f, np.int32)).decode() for f in found] == [made.decode(f, skip_special_tokens=False) for f in found]
 
 
 def test_token_files(spark, docs, none):
@@ -258,6 +292,38 @@ def test_jaccard_keeps_every_link_of_a_large_group(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute.components(texts)
 
 
+@pytest.mark.parametrize("large", [32, 4])
+def test_jaccard_within_families(spark, monkeypatch, large):
+    """Near copies of near copies, at every distance from their common source, and a second source that shares a passage."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    sources = [[rng.choice(words) for _ in range(90)]]
+    sources.append(sources[0][:45] + [rng.choice(words) for _ in range(45)])
+    texts = []
+    for i in range(400):
+        copy = list(sources[i % 4 == 0])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(80)
+            copy[at : at + rng.choice((1, 1, 2, 9))] = [rng.choice(words)] * rng.randint(0, 1)
+        texts.append((i, " ".join(copy)))
+        if rng.random() < 0.15:
+            sources[i % 4 == 0] = copy
+    assert len({c for _, _, c in brute.components(texts)}) > 20
+    found = jaccard.link_components(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute.components(texts)
+
+
+def test_words_that_differ_by_form_alone_do_not_collide(spark):
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    pairs = [("".join("ab"[b ^ flip] for b in bits[:n])) for n in (1024, 2048, 4096, 8192) for flip in (0, 1)]
+    hashes = shared.words_of(pa.array(pairs), shared.SPACED, lower=True).hashes
+    assert len(set(hashes.tolist())) == len(pairs)
+    one, two = pairs[:2]
+    found = jaccard.link_components(spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string"))
+    assert rows(found, "doc_id", "component_id") == [(1, 1), (2, 2)]
+
+
 def test_jaccard_in_small_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     texts = [(2 * i + k, f"a b c d e f x{i} y{i}" + f" z{i}" * k) for i in range(60) for k in (0, 1)]
