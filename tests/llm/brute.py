@@ -141,3 +141,35 @@ def rule_of(url, rules):
     fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
     best = max(fit, key=lambda r: len(r[0]) + len(r[1]), default=None)
     return host, path, best and best[0] + best[1], best and best[2]
+
+
+def kneser_ney(texts, letters, order=4):
+    """The natural log probability of a word, by interpolated Kneser-Ney over the characters of the texts' words."""
+    counts: list[Counter] = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for w in SPACED.findall(t.translate(LOWER)):
+            padded = " " * (order - 1) + w + " "
+            for at in range(order - 1, len(padded)):
+                counts[order][padded[at - order + 1 : at + 1]] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, totals, types = [0.0] * (order + 1), [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        ones, twos = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        discounts[k] = min(max((ones + 0.5) / (ones + 2 * twos + 1), 0.1), 0.9)
+        for g, n in counts[k].items():
+            totals[k][g[:-1]] += n
+            types[k][g[:-1]] += 1
+
+    def p(gram):
+        k, context = len(gram), gram[:-1]
+        lower = p(gram[1:]) if k > 1 else 1 / letters
+        if not totals[k][context]:
+            return lower
+        return (max(counts[k][gram] - discounts[k], 0) + discounts[k] * types[k][context] * lower) / totals[k][context]
+
+    def word(w):
+        padded = " " * (order - 1) + w + " "
+        return sum(math.log(p(padded[at - order + 1 : at + 1])) for at in range(order - 1, len(padded)))
+
+    return word

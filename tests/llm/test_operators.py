@@ -391,6 +391,32 @@ def test_languages(spark, none):
     assert {r["lang_pred"] for r in language.identified(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("most", [language.MOST_GRAMS, 3000])
+def test_kneser_ney_on_thirty_languages(spark, most):
+    """Probabilities as by a plain version over all n-grams; with few kept n-grams, those of a context still sum to one."""
+    rng = random.Random(8)
+    table = []
+    for i in range(30):
+        letters = [chr(97 + (i * 3 + k) % 26) for k in range(9)] + ["é", chr(0x4E00 + i)]
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)]
+        table += [(f"l{i:02}", prose(rng, 25, words)) for _ in range(4)]
+    model = language.learned(spark.createDataFrame(table, "lang string, text string"), most=most)
+    assert model.languages == [f"l{i:02}" for i in range(30)]
+    tried = [*{w for _, t in table[::9] for w in t.split()}, "zzzz", "a", "—"]
+    if most == 3000:
+        assert len(model.grams[3].langs) <= 3000
+        every = [w for w in {c for _, t in table for c in t if c != " "}]
+        # after the margin of a word comes some letter: what is left is the floor of letters never seen
+        sums = np.exp(model.words([w for w in every])[:, 0]).sum()
+        assert sums < 1
+        return
+    got = model.words(tried)
+    for l, name in enumerate(model.languages):
+        want = brute.kneser_ney([t for n, t in table if n == name], len({c for _, t in table for c in t}) + 1)
+        for w, value in zip(tried, got[:, l], strict=True):
+            assert value == pytest.approx(want(w), rel=2e-4)
+
+
 # the pipeline
 
 
