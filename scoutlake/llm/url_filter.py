@@ -1,13 +1,20 @@
 """URL filters: fixed rules first, then a tree of path templates for each host.
 
-Segments of a host's paths form a tree. Level by level, a child that is too rare among its siblings, or that looks like an id
-(a number, a hash), becomes the wildcard `*`; among the others, those whose next segments share out alike and whose labelled pages are blocked
-about as often are merged into one branch. A path's template is its way down this tree. The pages that a rule names are the
-labels: a template is rejected when its share of blocked pages, drawn towards EXPECTED, is too large. Levels beyond DEPTH are one segment `**`, so every path has a template.
-
-All counts are sums over (host, template, segment), so a host with a third of all pages costs one row for each distinct
-branch. Defined results: a url without `://` or a null one has an empty host and path, fits no rule, and is judged by the
-template of empty paths; repeated pages are rows of their own; other columns are kept by `judged`.
+Segments of a host's paths form a tree. Level by level, a segment that looks like an id (a number, a hash) or has few pages
+goes into its parent's wildcard `*`, unless its labelled pages, and those of the same branch on other hosts, draw its share of
+blocked pages far from that of the wildcard's others. Named segments are held against those of their parent that mostly go on to the same next segments: where a segment's next
+segments share out as theirs do and its labels do not draw it away either, it is merged into one branch with them. A
+path's template is its way down this tree. Beyond DEPTH, segments are one `**`, so every path has a template.
+
+The pages that a rule names are the labels. A template's purity, its share of blocked labelled pages, is smoothed: on a host it
+is drawn towards the same template's purity on all hosts of the domain (the last two names), this towards its purity on all
+hosts, and this towards EXPECTED, each with the weight of SMOOTH pages. So labels reach the pages that no rule names. A template
+is rejected from REJECT on; `evidence` says how far its labels are from it: host, domain, all or none.
+
+All counts are sums over (host, template, segment), no two branches are compared in pairs, and keys of many rows are joined
+where their rows are. Defined results: a url without `://` or a null one has an empty host and path, fits no rule, and is
+judged by the template of empty paths; repeated pages are rows of their own; other columns, of any names, are kept by `judged`
+but for those that it makes.
 """
 
 from __future__ import annotations
@@ -20,8 +27,10 @@ from scoutlake.llm import shared
 #: (host, path prefix, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DEPTH = 6
-#: A segment is its own branch if it holds this share of its siblings' pages and so many pages, and is not like an id.
-BRANCH_SHARE, BRANCH_PAGES = 0.02, 5
+#: A segment of fewer pages goes into the wildcard.
+BRANCH_PAGES = 5
+#: Next segments that hold this share of a segment's pages say which others it is held against.
+MAIN_SHARE = 0.1
 #: Branches whose next segments share out this alike (1: the same) are merged.
 ALIKE = 0.9
 #: They are not merged if their smoothed shares of blocked pages differ by more.
@@ -59,71 +68,112 @@ def _segments(path: Column, depth: int) -> Column:
     return F.concat(head, F.array(F.lit("$")))
 
 
-def _branches(paths: DataFrame) -> DataFrame:
-    """host, template, segment, branch: where each segment leads, from host, template (so far), segment, next and counts."""
-    sums = [F.sum(c).alias(c) for c in _COUNTS]
-    children = shared.written(paths.groupBy("host", "template", "segment", "next").agg(*sums), "children")
-    own = children.groupBy("host", "template", "segment").agg(*sums)
-    all_of = own.groupBy("host", "template").agg(F.sum("pages").alias("siblings"))
-    own = own.join(all_of, ["host", "template"])
-    fixed = (F.col("segment") == "$") | (F.col("segment") == "**")
-    apart = fixed | (~F.col("segment").rlike(_ID_LIKE) & (F.col("pages") >= BRANCH_PAGES) & (F.col("pages") >= BRANCH_SHARE * F.col("siblings")))
-    own = shared.written(own.select("host", "template", "segment", "pages", _purity().alias("purity"), apart.alias("apart"), fixed.alias("fixed")), "own")
-    # at most 1 / BRANCH_SHARE branches of one parent stand apart, so their pairs are few
-    named = own.filter("apart and not fixed").select("host", "template", "segment", "purity", F.col("pages").alias("all_pages"))
-    like = F.when(F.col("next").rlike(_ID_LIKE), "*").otherwise(F.col("next"))
-    shares = children.join(named, ["host", "template", "segment"]).groupBy("host", "template", "segment", "purity", like.alias("next"))
-    shares = shared.written(shares.agg((F.sum("pages") / F.first("all_pages")).alias("share")), "shares")
-    left, right = (shares.select("host", "template", "next", *(F.col(c).alias(f"{c}_{x}") for c in ("segment", "share", "purity"))) for x in "ab")
-    near = F.abs(F.col("purity_a") - F.col("purity_b")) <= SAME_SHARE
-    alike = left.join(right, ["host", "template", "next"]).filter(near & (F.col("segment_b") <= F.col("segment_a"))).groupBy("host", "template", "segment_a", "segment_b")
-    alike = alike.agg(F.sum(F.least("share_a", "share_b")).alias("overlap")).filter(F.col("overlap") >= ALIKE)
-    merged = alike.groupBy("host", "template", F.col("segment_a").alias("segment")).agg(F.min("segment_b").alias("first"))
-    out = own.join(merged, ["host", "template", "segment"], "left")
-    return out.select("host", "template", "segment", F.when(F.col("fixed"), F.col("segment")).when(F.col("apart"), F.coalesce("first", "segment")).otherwise("*").alias("branch"))
+_COUNTS = ["pages", "blocked", "labelled", "held"]
+_PARENT = ["host", "template"]
+_CHILD = [*_PARENT, "segment"]
 
 
-_COUNTS = ["pages", "blocked", "labelled"]
+def _purity(prior: Column | float = EXPECTED, blocked: str = "blocked", labelled: str = "labelled") -> Column:
+    return (F.col(blocked) + SMOOTH * (F.lit(prior) if isinstance(prior, float) else prior)) / (F.col(labelled) + SMOOTH)
 
 
-def _purity() -> Column:
-    return (F.col("blocked") + SMOOTH * EXPECTED) / (F.col("labelled") + SMOOTH)
+def _as_others() -> Column:
+    """Whether a member's labels leave its purity about where its group's other members have it."""
+    others = (F.col("all_blocked") - F.col("blocked") + SMOOTH * EXPECTED) / (F.col("all_labelled") - F.col("labelled") + SMOOTH)
+    return F.abs(_purity(others, "like_blocked", "like_labelled") - others) <= SAME_SHARE
+
+
+def _branches(paths: DataFrame) -> DataFrame:
+    """host, template, segment, branch, held: where each segment leads, from host, template (so far), segment, next and counts."""
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    children = shared.written(paths.groupBy(*_CHILD, "next").agg(*sums), "children")
+    own = shared.written(children.groupBy(*_CHILD).agg(*sums), "own")
+    elsewhere = own.groupBy("template", "segment").agg(F.sum("blocked").alias("blocked_a"), F.sum("labelled").alias("labelled_a"), F.count(F.lit(1)).alias("held"))
+    own = shared.spread_join(own, shared.written(elsewhere, "elsewhere"), ["template", "segment"])
+    weight = SMOOTH / (F.col("labelled_a") + SMOOTH)  # the same branch on all hosts counts as up to SMOOTH labelled pages
+    own = own.withColumns({"like_blocked": F.col("blocked") + weight * F.col("blocked_a"), "like_labelled": F.col("labelled") + weight * F.col("labelled_a")}).drop("blocked_a", "labelled_a")
+    fixed, variable = F.col("segment").isin("$", "**"), F.col("segment").rlike(_ID_LIKE) | (F.col("pages") < BRANCH_PAGES)
+    own = shared.written(own.withColumns({"fixed": fixed, "variable": ~fixed & variable}), "own")
+
+    pool = own.filter("variable").groupBy(*_PARENT).agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.count(F.lit(1)).alias("held"))
+    wild = shared.spread_join(own.filter("variable"), shared.written(pool, "pools"), _PARENT)
+    wild = wild.select(*_CHILD, F.when(_as_others(), "*").otherwise(F.col("segment")).alias("branch"), "held")
+
+    named = own.filter("not fixed and not variable").select(*_CHILD, "like_blocked", "like_labelled", "blocked", "labelled", F.col("pages").alias("all_pages"))
+    like = F.when(F.col("next").rlike(_ID_LIKE), "*").otherwise(F.col("next"))
+    shares = children.join(named, _CHILD).groupBy(*_CHILD, like.alias("next")).agg(F.sum("pages").alias("n"), F.first("all_pages").alias("all_pages"))
+    shares = shared.written(shares.withColumn("share", F.col("n") / F.col("all_pages")), "shares")
+    main = shares.groupBy(*_CHILD).agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("share") >= MAIN_SHARE, F.col("next")))), "/").alias("main"))
+    shares = shares.join(main, _CHILD)
+    group = [*_PARENT, "main"]
+    pooled = shares.groupBy(*group, "next").agg(F.sum("n").alias("group_n"))
+    sizes = main.join(own.drop("held"), _CHILD).groupBy(*group).agg(F.sum("pages").alias("group_pages"), F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
+    pooled = pooled.join(sizes, group)
+    overlap = F.sum(F.least(F.col("share"), F.col("group_n") / F.col("group_pages"))).alias("overlap")
+    alike = shares.join(pooled, [*group, "next"]).groupBy(*_CHILD, "main").agg(overlap, *(F.first(c).alias(c) for c in ("all_blocked", "all_labelled")))
+    alike = alike.filter(F.col("overlap") >= ALIKE).join(named, _CHILD).filter(_as_others())
+    alike = shared.written(alike.select(*_CHILD, "main"), "alike")
+    first = alike.groupBy(*group).agg(F.min("segment").alias("branch"))
+    merged = alike.join(first, group).select(*_CHILD, "branch")
+    stays = own.filter("not variable").select(*_CHILD, "held").join(merged, _CHILD, "left")
+    return wild.unionByName(stays.withColumn("branch", F.coalesce("branch", "segment")))
 
 
 def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """host, path, counts, template from distinct host and path with their counts of pages, blocked and labelled ones."""
-    paths = shared.written(paths.withColumn("segments", _segments(F.col("path"), depth)).withColumn("template", F.lit("")), "paths")
+    paths = paths.withColumns({"held": F.lit(1).cast("bigint"), "segments": _segments(F.col("path"), depth), "template": F.lit("")})
+    paths = shared.written(paths, "paths")
     for level in range(depth + 2):
         rest = paths.filter(F.size("segments") > level)
         if not rest.limit(1).count():
             break
         segment, following = F.get("segments", F.lit(level)), F.coalesce(F.get("segments", F.lit(level + 1)), F.lit(""))
-        now = paths.withColumn("segment", segment)
-        lead = shared.written(_branches(rest.select("host", "template", segment.alias("segment"), following.alias("next"), *_COUNTS)), "branches")
-        lead = lead.withColumnsRenamed({"host": "_h", "template": "_t", "segment": "_s"})
-        now = now.join(lead, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("segment") == F.col("_s")), "left")
+        lead = shared.written(_branches(rest.select(*_PARENT, segment.alias("segment"), following.alias("next"), *_COUNTS)), "branches")
+        now = shared.spread_join(paths.withColumn("segment", F.coalesce(segment, F.lit(""))), lead, _CHILD)
         step = F.when(F.col("branch").isNull() | (F.col("branch") == "$"), "").otherwise(F.concat(F.lit("/"), F.col("branch")))
         paths = shared.written(now.select("host", "path", *_COUNTS, "segments", F.concat("template", step).alias("template")), "paths")
-    return paths.select("host", "path", *_COUNTS, "template")
+    return paths.select("host", "path", "pages", "blocked", "labelled", "template")
+
+
+def purities(known: DataFrame) -> DataFrame:
+    """host, template, purity and evidence, from the counts of paths: each level is drawn towards the one above it."""
+    domain = F.substring_index("host", ".", -2)
+    sums = lambda x: [F.sum(c).alias(f"{c}_{x}") for c in ("blocked", "labelled")]
+    by_host = known.groupBy("host", domain.alias("domain"), "template").agg(*sums("h"))
+    by_host = shared.written(by_host, "by-host")
+    by_domain = by_host.groupBy("domain", "template").agg(*(F.sum(f"{c}_h").alias(f"{c}_d") for c in ("blocked", "labelled")), F.count(F.lit(1)).alias("held"))
+    by_domain = shared.written(by_domain, "by-domain")
+    everywhere = by_domain.groupBy("template").agg(*(F.sum(f"{c}_d").alias(f"{c}_a") for c in ("blocked", "labelled")), F.count(F.lit(1)).alias("held"))
+    domains = shared.spread_join(by_domain, shared.written(everywhere, "everywhere"), ["template"])
+    prior = _purity(_purity(blocked="blocked_a", labelled="labelled_a"), "blocked_d", "labelled_d")
+    domains = shared.written(domains.select("domain", "template", "held", prior.alias("prior"), "labelled_d", "labelled_a"), "domains")
+    hosts = shared.spread_join(by_host, domains, ["domain", "template"])
+    evidence = F.when(F.col("labelled_h") > 0, "host").when(F.col("labelled_d") > 0, "domain").when(F.col("labelled_a") > 0, "all").otherwise("none")
+    return hosts.select("host", "template", _purity(F.col("prior"), "blocked_h", "labelled_h").alias("purity"), evidence.alias("evidence"))
+
+
+_MADE = ["host", "path", "rule", "verdict", "template", "purity", "evidence"]
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url: str = "url", depth: int = DEPTH) -> DataFrame:
-    """pages with host, path, template, rule, purity (the smoothed share of blocked pages) and verdict."""
-    host, path = _split(F.col(url))
-    pages = pages.drop("host", "path", "template", "rule", "purity", "verdict").withColumns({"host": host, "path": path})
+    """pages with host, path, rule, verdict, template, purity (the smoothed share of blocked pages) and evidence."""
+    kept = [c for c in pages.columns if c not in _MADE]
+    host, path = _split(F.col(f"`{url}`"))
+    pages = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("page"), host.alias("host"), path.alias("path"))
     name, says = _longest_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    pages = pages.withColumns({"rule": name, "_says": says})
+    pages = pages.withColumns({"rule": name, "says": says})
     count = lambda kept: F.sum(F.when(kept, 1).otherwise(0))
-    paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), count(F.col("_says") == "block").alias("blocked"), count(F.col("_says").isNotNull()).alias("labelled"))
+    paths = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), count(F.col("says") == "block").alias("blocked"), count(F.col("says").isNotNull()).alias("labelled"))
     known = shared.written(templates(paths, depth), "templates")
-    counts = known.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    purity = counts.select("host", "template", _purity().alias("purity"))
-    verdicts = shared.written(known.join(purity, ["host", "template"]).select("host", "path", "template", "purity"), "verdicts").withColumnsRenamed({"host": "_h", "path": "_p"})
-    out = pages.join(verdicts, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    verdict = F.coalesce("_says", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_says")
+    held = known.groupBy(*_PARENT).agg(F.count(F.lit(1)).alias("held"))
+    found = shared.written(purities(known).join(held, _PARENT), "purities")
+    verdicts = shared.spread_join(known.select("host", "path", "template", "pages"), found, _PARENT)
+    verdicts = shared.written(verdicts.withColumnRenamed("pages", "held"), "verdicts")
+    out = shared.spread_join(pages, verdicts, ["host", "path"])
+    verdict = F.coalesce("says", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    return out.select("page.*", "host", "path", "rule", verdict.alias("verdict"), "template", "purity", "evidence")
 
 
 def op7_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
-    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity", "evidence")
