@@ -1,9 +1,11 @@
 """Secret scans with an incremental blob ledger.
 
 A text is a blob named by its SHA-256. The ledger is a Parquet table of (blob, rules, spans): which rule versions have been
-run on a blob, and what they found. A scan looks only at blobs for which the ledger lacks a rule version, once for each blob
-and with the lacking rules only, appends what it found, and joins the ledger back to every document (path, version) that
-holds the blob. Appending is a Spark write, so a failed or repeated run leaves no half entry and costs no wrong result.
+run on a blob, and which of them found what. A scan looks only at blobs for which the ledger lacks a current rule version, once
+for each blob and with the lacking rules only, appends what it found, and joins what current versions found back to every row
+(path, version of a document) that holds the blob. Appending is a Spark write, so a failed or repeated run leaves no half entry
+and costs no wrong result. The ledger lies where the setting LEDGER says, in a folder that all executors share, and grows from
+run to run; without the setting each run starts one of its own.
 
 Defined results: a null text is empty and has no spans; copies share one entry; repeated rows are rows of their own; spans are
 in code points, the end exclusive; other columns are kept by `redacted`.
@@ -43,29 +45,31 @@ KINDS = list(RULES)
 FOUND_ROWS = 100_000
 MARK = "[secret]"
 
-_LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
+#: The Spark setting with the ledger's path.
+LEDGER = "spark.scoutlake.ledger"
+_LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
 
 def rule_versions() -> list[str]:
     return [f"{kind}:{rule[0]}" for kind, rule in RULES.items()]
 
 
-def _patterns() -> dict[str, tuple[str, tuple[str, ...], re.Pattern, int, int]]:
-    return {f"{kind}:{v}": (kind, words, re.compile(p), least, group) for kind, (v, words, p, least, group) in RULES.items()}
+def _patterns() -> dict[str, tuple[tuple[str, ...], re.Pattern, int, int]]:
+    return {f"{kind}:{v}": (words, re.compile(p), least, group) for kind, (v, words, p, least, group) in RULES.items()}
 
 
 def spans_in(text: str, rules: list[str], patterns: dict) -> list[dict]:
-    """What some rules find in a text, by start, then by kind as listed."""
+    """What some rules find in a text."""
     low = text.lower()
     found = []
     for rule in rules:
-        kind, words, pattern, least, group = patterns[rule]
+        words, pattern, least, group = patterns[rule]
         if words and not any(w in low for w in words):
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                found.append({"kind": kind, "start": m.start(), "end": m.end()})
-    return sorted(found, key=lambda s: (s["start"], KINDS.index(s["kind"])))
+                found.append({"rule": rule, "start": m.start(), "end": m.end()})
+    return found
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -92,13 +96,17 @@ def scanned(docs: DataFrame, ledger: str, blob: str = "blob") -> DataFrame:
             yield pd.DataFrame({"blob": frame["blob"], "rules": frame["rules"], "spans": spans})
 
     rows.select("blob", "rules", "text").mapInPandas(run, _LEDGER).write.mode("append").parquet(ledger)
-    now = _ledger(spark, ledger).filter(F.exists("rules", lambda r: r.isin(versions)))
-    found = now.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
-    placed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind")))
+    found = _ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    order = F.create_map(*(x for i, r in enumerate(versions) for x in (F.lit(r), F.lit(i))))
+    current = F.filter("spans", lambda s: s["rule"].isin(versions))
+    placed = F.transform(current, lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["rule"]).alias("nth"), s["end"].alias("end"), F.split(s["rule"], ":")[0].alias("kind")))
     return found.select("blob", F.array_sort(placed).alias("spans"))
 
 
+def ledger_path(spark: SparkSession) -> str:
+    return spark.conf.get(LEDGER, None) or shared.new_path(spark, "ledger")
+
+
 def with_blob(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
@@ -106,15 +114,22 @@ def with_blob(docs: DataFrame, text: str = "text") -> DataFrame:
 def findings(docs: DataFrame, ledger: str | None = None, id_column: str = "doc_id") -> DataFrame:
     """id_column, blob, spans (start, nth, end, kind; in order) for each row of docs."""
     rows = with_blob(docs.select(id_column, "text"))
-    found = scanned(rows, ledger or shared.new_path(docs.sparkSession, "ledger"))
-    found = found.select(F.col("blob").alias("found_blob"), "spans")
-    return rows.drop("text").join(found, F.col("blob") == F.col("found_blob")).select(id_column, "blob", "spans")
+    found = scanned(rows, ledger or ledger_path(docs.sparkSession)).filter(F.size("spans") > 0)
+    found = shared.written(found, "found")
+    rows = rows.drop("text")
+    if found.count() <= FOUND_ROWS:
+        rows = rows.join(F.broadcast(found), "blob", "left")
+    else:
+        held = rows.groupBy("blob").agg(F.count(F.lit(1)).alias("held"))
+        rows = shared.spread_join(rows, shared.written(found.join(held, "blob"), "held"), "blob")
+    none = F.array().cast("array<struct<start:int,nth:int,end:int,kind:string>>")
+    return rows.select(id_column, "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """docs, with all their columns, in whose texts each stretch of found spans is MARK; n_chars, if there is one, follows."""
     rows = with_blob(docs.select("text"))
-    found = scanned(rows, ledger or shared.new_path(docs.sparkSession, "ledger")).filter(F.size("spans") > 0)
+    found = scanned(rows, ledger or ledger_path(docs.sparkSession)).filter(F.size("spans") > 0)
     found = shared.written(found.select("blob", "spans"), "secrets")
     blob = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
     marked = docs.join(shared.checked_broadcast(found, FOUND_ROWS), blob == found["blob"], "left")

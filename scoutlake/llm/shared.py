@@ -96,16 +96,15 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """left with the columns of right (written; one row a key, held: how many rows of left have it) but held, as a left join.
-
     Rows of keys that HOT_ROWS rows have meet a copy of right's row where they are, so no task gets a hot key's rows; there
     is at most one such key for each HOT_ROWS rows. All others are joined as Spark finds best.
     """
     hot = checked_broadcast(right.filter(F.col("held") > HOT_ROWS).drop("held"))
     cold = right.filter(F.col("held") <= HOT_ROWS).drop("held")
     meets = left.join(hot, key)
-    return left.join(hot.select(key), key, "left_anti").join(cold, key, "left").unionByName(meets)
+    return left.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(cold, key, "left").unionByName(meets)
 
 
 def fold_crc(column: str, modulus: int) -> Column:

@@ -232,6 +232,28 @@ def test_secrets(spark, docs, none):
     assert clean.filter("text is null").count() == 2
 
 
+def test_ledger_scans_only_unseen_pairs_of_blobs_and_rules(spark, monkeypatch):
+    """Runs one after another over one ledger: new versions of a path, then a new version of a rule."""
+    ledger = shared.new_path(spark, "ledger")
+    spark.conf.set(secrets.LEDGER, ledger)
+    try:
+        first = [("a.py", "password = abcdefghijkl"), ("b.py", "ghp_" + "z" * 36), ("c.py", "password = abcdefghijkl")]
+        shown = lambda found: {(r[0], x["kind"]) for r in found.collect() for x in r["spans"]}
+        table = lambda t: spark.createDataFrame(t, "path string, text string")
+        assert shown(secrets.findings(table(first), id_column="path")) == {("a.py", "assign"), ("b.py", "forge"), ("c.py", "assign")}
+        assert spark.read.parquet(ledger).count() == 2  # copies are one blob
+        second = [*first, ("a.py", "password = short"), ("d.py", first[1][1])]
+        assert ("d.py", "forge") in shown(secrets.findings(table(second), id_column="path"))
+        assert spark.read.parquet(ledger).count() == 3
+        version, words, _, least, group = secrets.RULES["forge"]
+        monkeypatch.setitem(secrets.RULES, "forge", (version + 1, words, r"ghp_b+", least, group))
+        assert shown(secrets.findings(table(second), id_column="path")) == {("a.py", "assign"), ("c.py", "assign")}
+        again = [r["rules"] for r in spark.read.parquet(ledger).collect() if len(r["rules"]) == 1]
+        assert again == [[f"forge:{version + 1}"]] * 3  # of each blob the new version alone
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
 def test_whole_private_keys_are_redacted(spark):
     body = "\n".join(["MIIEpAIBAAKCAQEAx7Vn+kq/3JZ" + "Qz" * 18] * 3 + ["Ab3="])
     begin = "-----BEGIN {}PRIVATE KEY-----"
@@ -263,6 +285,39 @@ def test_urls(spark):
     # both branches go on alike and have no labelled pages, so they are one
     assert found.filter("template = '/ads/*/view'").count() == 60
     assert url_filter.judged(pages.limit(0)).count() == 0
+    clash = url_filter.judged(pages.withColumns({c: F.lit("x") for c in ("_h", "says", "held", "page", "template", "branch", "a.b")}), url="url")
+    assert rows(clash, "page_id", "host", "path", "rule", "verdict") == got and "a.b" in clash.columns
+
+
+def test_url_templates_are_judged_by_labels_elsewhere(spark):
+    """Labels on some hosts decide the same templates of hosts that no rule names, and give way to a host's own labels."""
+    rules = [("bad.com", "/", "block"), ("good.com", "/", "allow"), ("own.org", "/win/a", "allow")]
+    urls = [f"http://h{i % 3}.bad.com/win/{1000 + i}/go" for i in range(40)] + [f"http://www.good.com/wiki/{1000 + i}" for i in range(40)]
+    urls += [f"http://fresh.net/win/{2000 + i}/go" for i in range(6)] + [f"http://fresh.net/wiki/{2000 + i}" for i in range(6)]
+    urls += [f"http://own.org/win/a{1000 + i}/go" for i in range(8)] + [f"http://own.org/win/{1000 + i}/go" for i in range(8)]
+
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    found = url_filter.judged(pages, rules=rules).collect()
+    assert {(r["template"], r["verdict"], r["evidence"]) for r in found if r["host"] == "fresh.net"} == {("/win/*/go", "block", "all"), ("/wiki/*", "allow", "all")}
+    assert {r["verdict"] for r in found if r["host"] == "own.org"} == {"allow"}
+    # purity as its definition says, from the labels and templates alone
+    known = [(r["host"], ".".join(r["host"].split(".")[-2:]), r["template"], r["rule"] is not None, r["rule"] is not None and r["verdict"] == "block") for r in found]
+    for r in found:
+        p, domain = url_filter.EXPECTED, ".".join(r["host"].split(".")[-2:])
+        for same in (lambda k: True, lambda k: k[1] == domain, lambda k: k[0] == r["host"]):
+            here = [k for k in known if k[2] == r["template"] and same(k)]
+            p = (sum(k[4] for k in here) + url_filter.SMOOTH * p) / (sum(k[3] for k in here) + url_filter.SMOOTH)
+        assert r["purity"] == pytest.approx(p)
+        assert r["rule"] is not None or r["verdict"] == ("block" if p >= url_filter.REJECT else "allow")
+
+
+def test_url_wildcards_keep_blocked_sections_apart(spark):
+    rules = [("site.com", "/spam/", "block")]
+    urls = [f"http://site.com/spam/{'abcd'[i]}" for i in range(4)] + [f"http://site.com/part{'abcdefghijklmnop'[i]}/x" for i in range(16)]
+    found = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules=rules).collect()
+    assert {r["template"] for r in found if r["rule"]} == {"/spam/*"} and {r["template"] for r in found if not r["rule"]} == {"/*/x"}
+    assert {r["verdict"] for r in found if not r["rule"]} == {"allow"}
 
 
 # 8
