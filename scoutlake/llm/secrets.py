@@ -54,8 +54,8 @@ def rule_versions() -> list[str]:
     return [f"{kind}:{rule[0]}" for kind, rule in RULES.items()]
 
 
-def _patterns() -> dict[str, tuple[tuple[str, ...], re.Pattern, int, int]]:
-    return {f"{kind}:{v}": (words, re.compile(p), least, group) for kind, (v, words, p, least, group) in RULES.items()}
+def _patterns(rules: dict) -> dict[str, tuple[tuple[str, ...], re.Pattern, int, int]]:
+    return {f"{kind}:{v}": (words, re.compile(p), least, group) for kind, (v, words, p, least, group) in rules.items()}
 
 
 def spans_in(text: str, rules: list[str], patterns: dict) -> list[dict]:
@@ -83,14 +83,14 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def scanned(docs: DataFrame, ledger: str, blob: str = "blob") -> DataFrame:
     """blob, spans for every blob of docs (columns blob, text), after scanning what the ledger lacks."""
-    spark, versions = docs.sparkSession, rule_versions()
+    spark, versions, rules = docs.sparkSession, rule_versions(), dict(RULES)
     known = _ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
     lacking = F.array_except(F.array(*map(F.lit, versions)), F.coalesce("had", F.array().cast("array<string>")))
     rows = docs.select(F.col(blob).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
     rows = rows.join(known, "blob", "left").withColumn("rules", lacking).filter(F.size("rules") > 0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = _patterns()
+        patterns = _patterns(rules)
         for frame in frames:
             spans = [spans_in(t, list(r), patterns) for t, r in zip(frame["text"], frame["rules"], strict=True)]
             yield pd.DataFrame({"blob": frame["blob"], "rules": frame["rules"], "spans": spans})
