@@ -185,21 +185,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. The set of a is shuffled beside each pair, the set of b only once."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for r in range(batch.num_rows):
-                x = batch.column("of_a")[r].values.to_numpy(zero_copy_only=False)
-                y = batch.column("of_b")[r].values.to_numpy(zero_copy_only=False)
-                together = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * together >= percent * (len(x) + len(y) - together):
-                    keep.append(r)
-            take = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([take.column("a"), take.column("b")], ["a", "b"])
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(left, "a").join(right, "b")
+    together = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - together
+    return both.filter(100 * together >= percent * union).select("a", "b")
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:

@@ -17,7 +17,7 @@ BROADCAST_ROWS = 1_000_000
 #: A key of more rows than this is joined apart from the others.
 HOT_ROWS = 1000
 #: Text that one numpy step takes at once; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _U = np.uint64
 #: One random value for each byte at each of a word's first places.
@@ -155,8 +155,11 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    key = (place << 8) | data[np.repeat(starts, sizes) + place]
+    at = np.arange(int(sizes.sum()))
+    place = (at - np.repeat(first, sizes)).astype(np.int32 if len(data) < 1 << 22 else np.int64)
+    at += np.repeat(starts - first, sizes)
+    key = (place << 8) | data[at]
+    del at, place
     if int(sizes.max()) <= _PLACES:
         values = _AT_PLACE[key]
     else:
