@@ -70,40 +70,63 @@ def parsed(games: DataFrame) -> DataFrame:
     """One row for each plate appearance of games (game_id, home_team_id, away_team_id, plays: the JSON array of the format).
 
     Who pitches depends on earlier decisions within a half-inning label, so one fold runs over a game's plays; batches of games
-    go through it side by side, and a game is never split.
+    go through it side by side, and a game is never split. All else is Column expressions. Null plays, details and templates
+    are empty ones; perspective_team_id stays if games has it. `events` holds the appearance's events in order; strikes are
+    those of its pitches.
     """
-    schema = "game_id string, play_order bigint, inning bigint, half string, batting_team_id bigint, batter_id string, pitcher_id string, outcome string, pitches array<string>, details array<string>"
+    told = "inning bigint, half string, batting_team_id bigint, batter_id string, pitcher_id string, outcome string, home_score bigint, away_score bigint, did_score_change bigint, outs_after bigint, did_outs_change bigint"
+    seen = [c for c in ("perspective_team_id",) if c in games.columns]
+    kept = ["game_id", *seen]
+    schema = ", ".join(f"{c} {games.schema[c].dataType.simpleString()}" for c in kept) + f", play_order bigint, {told}, templates array<string>, details array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for g in frame.itertuples() for r in game_rows(g.game_id, g.home_team_id, g.away_team_id, g.plays)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            for game in frame.itertuples():
+                rows = game_rows([getattr(game, c) for c in kept], game.home_team_id, game.away_team_id, game.plays)
+                yield pd.DataFrame(rows, columns=names)
 
-    rows = games.select("game_id", "home_team_id", "away_team_id", "plays").mapInPandas(run, schema)
+    rows = games.select(*kept, "home_team_id", "away_team_id", "plays").mapInPandas(run, schema)
+    pitches = F.filter(F.transform("templates", pitch_result), lambda x: x.isNotNull())
+    rows = rows.withColumn("pitches", pitches)
     made = {"pitch_count": F.size("pitches").cast("bigint"), "is_first_pitch_strike": first_pitch_strike(F.col("pitches")), "is_qab": quality(F.col("outcome"), F.col("pitches"), F.col("details"))}
-    return rows.withColumns(made).drop("pitches", "details")
+    made["strikes"] = F.size(F.filter("pitches", lambda x: x.isin(*FIRST_STRIKES))).cast("bigint")
+    made["events"] = F.transform("templates", lambda t, i: F.struct(i.cast("bigint").alias("event_order"), event_type(t).alias("event_type"), pitch_result(t).alias("pitch_result"), t.alias("template")))
+    return rows.withColumns(made).drop("pitches", "details", "templates")
 
 
-def game_rows(game_id, home, away, plays) -> list[tuple]:
-    """The plate appearances of one game, with their pitchers."""
+def play_events(appearances: DataFrame) -> DataFrame:
+    """One row for each event of `parsed` appearances, with the keys of its appearance; the first pitch is marked."""
+    keys = [c for c in ("game_id", "perspective_team_id", "play_order") if c in appearances.columns]
+    first = F.array_position(F.transform("events", lambda e: e["event_type"]), "pitch") - 1
+    rows = appearances.select(*keys, first.alias("_first"), F.explode("events").alias("e")).select(*keys, "_first", "e.*")
+    return rows.withColumn("is_first_pitch", (F.col("event_order") == F.col("_first")).cast("bigint")).drop("_first")
+
+
+def _templates(listed) -> list[str]:
+    return [(d and d["template"]) or "" for d in (listed if listed is not None else [])]
+
+
+def game_rows(keys: list, home, away, plays) -> list[tuple]:
+    """The plate appearances of one game, with their pitchers; keys begin each row."""
     import re
 
     ref, explicit = re.compile(text.UUID), re.compile(text.UUID + r"\s+pitching")
     now: dict[str, str | None] = {}
     rows = []
-    for nth, play in enumerate(plays):
-        final = [d["template"] or "" for d in (play["final_details"] if play["final_details"] is not None else [])]
+    number = lambda play, c: int(play[c]) if c in play and pd.notna(play[c]) else 0
+    for play in plays if plays is not None else []:
+        final = _templates(play and play["final_details"])
         if not final:
             continue
-        half, begun, pitches = play["half"], now.get(play["half"]), []
-        for t in (d["template"] or "" for d in (play["at_plate_details"] if play["at_plate_details"] is not None else [])):
+        half, told = play["half"] or "top", _templates(play["at_plate_details"])
+        begun, thrown = now.get(half), False
+        for t in told:
             if ("in at pitcher" in t or "in for pitcher" in t) and (found := ref.search(t)):
                 now[half] = found[1]
-            elif t in PITCHES:
-                if not pitches:
-                    begun = now.get(half)
-                pitches.append(PITCHES[t])
-        outcome, batter = play["name_template"]["template"], ref.search(final[0])
+            elif t in PITCHES and not thrown:
+                begun, thrown = now.get(half), True
+        outcome, batter = (play["name_template"] and play["name_template"]["template"]) or "", ref.search(final[0])
         if outcome in NO_APPEARANCE or not batter:
             continue
         named = next((m[1] for t in final if (m := explicit.search(t))), None)
@@ -113,17 +136,27 @@ def game_rows(game_id, home, away, plays) -> list[tuple]:
             pitcher = now[half] = named
         else:
             pitcher = begun or now.get(half)
-        rows.append([game_id, nth, play["inning"], half, away if half == "top" else home, batter[1], pitcher, outcome, pitches, final])
-    for half in {r[3] for r in rows}:
-        own = [r for r in rows if r[3] == half]
-        known = next((r[6] for r in own if r[6]), None)
+        numbers = [number(play, c) for c in ("home_score", "away_score", "did_score_change", "outs", "did_outs_change")]
+        rows.append([*keys, number(play, "order"), number(play, "inning"), half, away if half == "top" else home, batter[1], pitcher, outcome, *numbers, told, final])
+    at_half, at_pitcher = len(keys) + 2, len(keys) + 5
+    for half in {r[at_half] for r in rows}:
+        own = [r for r in rows if r[at_half] == half]
+        known = next((r[at_pitcher] for r in own if r[at_pitcher]), None)
         for r in own:
-            if r[6]:
+            if r[at_pitcher]:
                 break
-            r[6] = known
+            r[at_pitcher] = known
     return [tuple(r) for r in rows]
 
 
+def first_appearances(plays: DataFrame) -> DataFrame:
+    """Pitchers of each game, perspective and batting team in the order in which they first appear: nth, and who comes before."""
+    key = ["game_id", "perspective_team_id", "batting_team_id"]
+    first = plays.filter("pitcher_id is not null").groupBy(*key, "pitcher_id").agg(F.min("play_order").alias("first_play"), F.count(F.lit(1)).alias("bf"))
+    order = Window.partitionBy(*key).orderBy("first_play", "pitcher_id")
+    return first.withColumns({"nth": F.row_number().over(order).cast("bigint"), "before": F.lag("pitcher_id").over(order)})
+
+
 def pitcher_rates(plays: DataFrame) -> DataFrame:
     """First-pitch-strike percentage over all batters faced, and pitches a batter."""
     sums = plays.filter("pitcher_id is not null").groupBy("pitcher_id").agg(F.count(F.lit(1)).alias("bf"), F.sum("is_first_pitch_strike").cast("bigint").alias("fps"), F.sum("pitch_count").cast("bigint").alias("pitches"))

@@ -318,6 +318,38 @@ def team_plays_rate(t):
     return plays.team_rates(t("plays"))
 
 
+_TOLD = """(select user_id::string as game_id, event_id as play_order, case when event_id % 2 = 0 then 'top' else 'bottom' end as half, event_id % 5 as batter,
+    case when event_id % 3 = 0 then event_id % 4 end as named, event_id % 4 as balls, event_id % 7 = 0 as has_out, event_id % 6 as score, event_id % 11 > 0 as ended from events)"""
+
+
+def _uuid(n):
+    return F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(n.cast("string"), 12, "0"))
+
+
+@query("parse_fold", f"""
+    select game_id, play_order, half, '00000000-0000-0000-0000-' || lpad(batter::string, 12, '0') as batter_id,
+        '00000000-0000-0000-0000-' || lpad(coalesce(last_value(named ignore nulls) over (partition by game_id, half order by play_order),
+            first_value(named ignore nulls) over (partition by game_id, half order by play_order rows between current row and unbounded following))::string, 12, '0') as pitcher_id,
+        balls + 1 as pitch_count, 1::bigint as strikes, (balls = 0)::bigint as is_first_pitch_strike, has_out::bigint as did_outs_change, score as home_score
+    from {_TOLD} as told where ended""")
+def parse_fold(t):
+    n = F.col("event_id")
+    part = lambda c: F.struct(c.alias("template"))
+    told = F.concat(F.array_repeat(F.lit("Ball 1"), (n % 4).cast("int")), F.array(F.lit("In play")))
+    named = F.when(n % 3 == 0, F.concat(F.lit(", ${"), _uuid(n % 4), F.lit("} pitching"))).otherwise("")
+    final = F.when(n % 11 > 0, F.array(part(F.concat(F.lit("${"), _uuid(n % 5), F.lit("} grounds out"), named)))).otherwise(F.array().cast("array<struct<template:string>>"))
+    one = F.struct(n.alias("order"), F.lit(1).cast("bigint").alias("inning"), F.when(n % 2 == 0, "top").otherwise("bottom").alias("half"), part(F.lit("Ground Out")).alias("name_template"), (n % 6).alias("home_score"), F.lit(0).cast("bigint").alias("away_score"), F.lit(False).alias("did_score_change"), F.lit(0).cast("bigint").alias("outs"), (n % 7 == 0).alias("did_outs_change"), F.transform(told, part).alias("at_plate_details"), final.alias("final_details"))
+    found = t("events").groupBy(F.col("user_id").cast("string").alias("game_id")).agg(F.sort_array(F.collect_list(one)).alias("plays")).withColumns({"home_team_id": F.lit(1).cast("bigint"), "away_team_id": F.lit(2).cast("bigint")})
+    return plays.parsed(found).select("game_id", "play_order", "half", "batter_id", "pitcher_id", "pitch_count", "strikes", "is_first_pitch_strike", "did_outs_change", "home_score")
+
+
+@query("pitcher_order", """
+    select *, row_number() over (partition by game_id, perspective_team_id, batting_team_id order by first_play, pitcher_id) as nth, lag(pitcher_id) over (partition by game_id, perspective_team_id, batting_team_id order by first_play, pitcher_id) as before from (
+        select game_id, perspective_team_id, batting_team_id, pitcher_id, min(play_order) as first_play, count(*) as bf from plays where pitcher_id is not null group by all) as f""")
+def pitcher_order(t):
+    return plays.first_appearances(t("plays"))
+
+
 _DERIVED = """(select game_id, perspective_team_id, pitcher_id as player_id, count(*) as bf, sum(did_outs_change)::bigint as ip_outs, sum((outcome in ('Strikeout', 'Dropped 3rd Strike'))::int)::bigint as so,
     sum((outcome in ('Walk', 'Intentional Walk'))::int)::bigint as bb, sum((outcome = 'Hit By Pitch')::int)::bigint as hbp, sum((outcome in ('Single', 'Double', 'Triple', 'Home Run'))::int)::bigint as h,
     sum(pitch_count)::bigint as pitches, sum(strikes)::bigint as total_strikes from plays where pitcher_id is not null group by all)"""

@@ -62,7 +62,7 @@ def test_plays_fold(spark, put):
         play("Fly Out", ["In play"], [f"${{{B}}} flies out"]),
         play("Double", ["Ball 1"], []),
     ]
-    path = put("g1.json", {"sport": "x", "plays": told})
+    path = put("g1.json", {"sport": "x", "plays": [t | {"order": i} for i, t in enumerate(told)]})
     from pyspark.sql import functions as F
 
     games = feeds.games_with_plays(spark, path).withColumns({"home_team_id": F.lit(1).cast("bigint"), "away_team_id": F.lit(2).cast("bigint")})
@@ -75,6 +75,26 @@ def test_plays_fold(spark, put):
     ]
 
 
+def test_plays_chain_to_reconciliation(spark, put):
+    """Feed, fold, pitchers' counters, box score: scores, outs, strikes and own order numbers come through; nulls stop nothing."""
+    from pyspark.sql import functions as F
+
+    told = [
+        play("Strikeout", ["Strike 1 looking", "Foul", "Strike 3 swinging"], [f"${{{A}}} strikes out, ${{{P}}} pitching"]) | {"order": 7, "did_outs_change": True, "outs": 1},
+        play("Single", [f"${{{B}}} in for batter", "Ball 1", f"${{{B}}} steals 2nd", "In play"], [f"${{{B}}} singles"]) | {"order": 9, "home_score": 2, "did_score_change": True},
+        {"order": 10, "inning": 1, "half": "top", "name_template": None, "at_plate_details": None, "final_details": [{"template": f"${{{A}}} x"}, None]},
+        {"order": 11, "half": "top", "name_template": {"template": "Walk"}, "final_details": None},
+    ]
+    games = feeds.games_with_plays(spark, put("g7.json", {"plays": told})).withColumns({c: F.lit(i).cast("bigint") for i, c in enumerate(("home_team_id", "away_team_id", "perspective_team_id"), 1)})
+    found = plays.parsed(games.unionByName(games.withColumns({"game_id": F.lit("none"), "plays": F.lit(None).cast(games.schema["plays"].dataType)})))
+    assert rows(found, "play_order", "outcome", "did_outs_change", "outs_after", "home_score", "did_score_change", "strikes", "pitcher_id") == [(7, "Strikeout", 1, 1, 0, 0, 3, P), (9, "Single", 0, 0, 2, 1, 1, P), (10, "", 0, 0, 0, 0, 0, P)]
+    events = plays.play_events(found)
+    assert rows(events.filter("play_order = 9"), "event_order", "event_type", "pitch_result", "is_first_pitch") == [(0, "other", None, 0), (1, "pitch", "ball", 1), (2, "baserunner", None, 0), (3, "pitch", "in_play", 0)]
+    derived = plays.plays_by_pitcher(found)
+    box = spark.createDataFrame([("g7", 3, P, 3, 1, 1, 0, 0, 1, 5, 4)], "game_id string, perspective_team_id bigint, player_id string, bf bigint, ip_outs bigint, so bigint, bb bigint, hbp bigint, h bigint, pitches bigint, total_strikes bigint")
+    assert rows(plays.reconciled(box, derived, ["game_id", "perspective_team_id", "player_id"], plays.SIGNALS).filter("status <> 'MATCH'"), "signal") == []
+
+
 def test_balls_and_season(spark, put):
     ball = lambda i, d: {"id": i, "createdAt": 5, "attributes": {"playResult": "single", "playType": "line_drive", "defenders": d}}
     path = put("s.json", {"spray_chart_data": {"offense": {A: [ball("1", [{"position": "CF", "location": {"x": 1.0, "y": 2.0}}]), ball("2", []), ball("3", [{"position": "CF"}])]}, "defense": {}}})
