@@ -81,3 +81,54 @@ def relative_day(date: Column, today: Column) -> Column:
 def parsed_list(text: Column) -> Column:
     """A JSON list of strings in lower case; empty where it is none."""
     return F.coalesce(F.transform(F.from_json(text, "array<string>"), F.lower), F.array().cast("array<string>"))
+
+
+# fixed values: what a team's name may end with beside the name itself
+LEVEL_WORDS = ("varsity", "junior varsity", "jv", "freshman", "frosh", "reserve", "legion")
+
+
+def without_level(name: Column, rounds: int = 3) -> Column:
+    """A team's name without level words at its end, or an age such as 12U; as often as one is left, up to `rounds`."""
+    ending = r"(?i)\s+(" + "|".join(LEVEL_WORDS) + r"|\d{1,2}u)\s*$"
+    out = F.trim(name)
+    for _ in range(rounds):
+        out = F.regexp_replace(out, ending, "")
+    return out
+
+
+def team_key(given: Column) -> tuple[Column, Column]:
+    """The identifier in an address `.../teams/{id}...` or given as it is, and its kind: uuid, slug (6 to 20 letters or digits) or null."""
+    trimmed = F.trim(given)
+    named = F.regexp_extract(trimmed, r"/teams/([A-Za-z0-9-]+)", 1)
+    found = F.when(named != "", named).when(~trimmed.contains("/"), trimmed)
+    kind = F.when(F.lower(found).rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid").when(found.rlike(r"^[A-Za-z0-9]{6,20}$"), "slug")
+    return F.when(kind.isNotNull(), found), kind
+
+
+def program_of(name: Column, programs: dict[str, str]) -> Column:
+    """The id of the longest program name that a team's name contains, any case; null for none (programs: name to id)."""
+    out = F.lit(None).cast("string")
+    for program in sorted(programs, key=lambda p: (len(p), p)):
+        out = F.when(F.contains(F.lower(name), F.lit(program.lower())), programs[program]).otherwise(out)
+    return out
+
+
+def percent_text(value: Column) -> Column:
+    """62.5%, or a dash for null."""
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit("%")))
+
+
+def rate_text(value: Column) -> Column:
+    """.342, 1.000, or - for null."""
+    shown = F.format_string("%.3f", F.bround(value, 3))
+    return F.when(value.isNull(), "-").when(shown.startswith("0."), F.substring(shown, 2, 10)).otherwise(shown)
+
+
+def workload_text(pitches: Column, games: Column) -> Column:
+    """85p (2g); ?p (1g) where pitches are unknown; a dash without games."""
+    return F.when(F.coalesce(games, F.lit(0)) == 0, "—").otherwise(F.concat(F.coalesce(pitches.cast("string"), F.lit("?")), F.lit("p ("), games.cast("string"), F.lit("g)")))
+
+
+def last_outing_text(days: Column) -> Column:
+    """Today, 3d, or a dash for null."""
+    return F.when(days.isNull(), "—").when(days == 0, "Today").otherwise(F.concat(days.cast("string"), F.lit("d")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutlake.functions import rates, text
-from scoutlake.operators import batting, games, identity, pitching, plays, spray, tables, text_scan
+from scoutlake.operators import batting, games, identity, links, pitching, plays, spray, tables, text_scan
 from scoutlake.plans import standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,3 +549,173 @@ def email_lines(t):
 @query("pii_scan")
 def pii_scan(t):
     return text_scan.findings(t("documents"), "doc_id")
+
+
+_LINKS = "(select s_suppkey as link_id, s_nationkey::bigint as our_team_id, case when s_acctbal > 0 then s_suppkey % 25 end as resolved_team_id, case when s_suppkey % 4 = 0 then 'manual' else 'auto' end as resolution_method, 'p' || s_name as public_id, s_name as name, (s_suppkey % 5 = 0)::int as is_hidden from supplier)"
+_JOBS = "(select c_custkey as job_id, c_nationkey::bigint as team_id, c_custkey % 97 as started_at, case c_custkey % 3 when 0 then 'running' when 1 then 'failed' else 'done' end as state from customer where c_nationkey % 5 > 0)"
+
+
+def _links(t):
+    n = F.col("s_suppkey")
+    return t("supplier").select(n.alias("link_id"), F.col("s_nationkey").cast("bigint").alias("our_team_id"), F.when(F.col("s_acctbal") > 0, n % 25).alias("resolved_team_id"), F.when(n % 4 == 0, "manual").otherwise("auto").alias("resolution_method"), F.concat(F.lit("p"), "s_name").alias("public_id"), F.col("s_name").alias("name"), (n % 5 == 0).cast("int").alias("is_hidden"))
+
+
+def _jobs(t):
+    n = F.col("c_custkey")
+    return t("customer").filter("c_nationkey % 5 > 0").select(n.alias("job_id"), F.col("c_nationkey").cast("bigint").alias("team_id"), (n % 97).alias("started_at"), F.when(n % 3 == 0, "running").when(n % 3 == 1, "failed").otherwise("done").alias("state"))
+
+
+@query("latest_job_join", f"select id as team_id, state as job_state from teams left join (select * from {_JOBS} as j qualify row_number() over (partition by team_id order by started_at desc, job_id desc) = 1) as l on l.team_id = id")
+def latest_job_join(t):
+    return links.latest_jobs(t("teams").select(F.col("id").alias("team_id")), _jobs(t))
+
+
+@query("pipeline_status", f"""
+    select link_id, case when resolved_team_id is null or is_hidden = 1 then null when resolved_team_id % 4 = 0 then 'stats' when state = 'running' then 'syncing' when state = 'failed' then 'failed' end as pipeline_status
+    from {_LINKS} as l left join (select * from {_JOBS} as j qualify row_number() over (partition by team_id order by started_at desc, job_id desc) = 1) as k on k.team_id = resolved_team_id""")
+def pipeline_status(t):
+    return links.pipeline_status(_links(t), t("teams").filter("id % 4 = 0").select(F.col("id").alias("team_id")), _jobs(t))
+
+
+@query("manual_link_upsert", f"""
+    with o as (select * from {_LINKS} as l where link_id % 3 > 0), n as (select link_id, our_team_id, link_id % 7 as resolved_team_id, 'search' as resolution_method, 'new' || name as public_id, 'new ' || name as name, 1 - is_hidden as is_hidden from {_LINKS} as l where link_id % 2 = 0)
+    select link_id, case when n.link_id is null then o.our_team_id else n.our_team_id end as our_team_id, {", ".join(f"case when n.link_id is null or coalesce(o.resolution_method = 'manual', false) then o.{c} else n.{c} end as {c}" for c in links.RESOLVED)},
+        case when n.link_id is null then o.name else n.name end as name, case when n.link_id is null then o.is_hidden else n.is_hidden end as is_hidden from o full join n using (link_id)""")
+def manual_link_upsert(t):
+    rows = _links(t)
+    new = rows.filter("link_id % 2 = 0").withColumns({"resolved_team_id": F.col("link_id") % 7, "resolution_method": F.lit("search"), "public_id": F.concat(F.lit("new"), "name"), "name": F.concat(F.lit("new "), "name"), "is_hidden": 1 - F.col("is_hidden"), "seq": F.col("link_id")})
+    return links.upsert_protecting_manual(rows.filter("link_id % 3 > 0"), new, ["link_id"])
+
+
+@query("opponent_seeding", """
+    with reg as (select s_nationkey::bigint as our_team_id, s_suppkey % 40 as opponent_id, s_name as name, (s_suppkey % 5 = 0)::int as is_hidden, s_suppkey as seq from supplier),
+        sch as (select c_nationkey::bigint as our_team_id, case when c_custkey % 9 = 0 then null else c_custkey % 40 end as opponent_id, c_name as name, c_custkey as seq from customer),
+        shown as (select our_team_id, opponent_id, arg_min(name, seq) as name from reg where is_hidden = 0 group by all),
+        named as (select our_team_id, opponent_id, arg_min(name, seq) as name from sch where opponent_id is not null group by all),
+        every as (select * from shown union all select * from named as n where not exists (select 1 from shown as s where s.our_team_id = n.our_team_id and s.opponent_id = n.opponent_id))
+    select * from every as e where not exists (select 1 from reg as r where is_hidden = 1 and r.our_team_id = e.our_team_id and r.opponent_id = e.opponent_id) and e.opponent_id % 10 <> 3""")
+def opponent_seeding(t):
+    reg = t("supplier").select(F.col("s_nationkey").cast("bigint").alias("our_team_id"), (F.col("s_suppkey") % 40).alias("opponent_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5 == 0).cast("int").alias("is_hidden"), F.col("s_suppkey").alias("seq"))
+    sch = t("customer").select(F.col("c_nationkey").cast("bigint").alias("our_team_id"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey") % 40).alias("opponent_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
+    had = reg.select("our_team_id", "opponent_id").union(sch.select("our_team_id", "opponent_id")).filter("opponent_id % 10 = 3")
+    return links.seeded(reg, sch, had)
+
+
+@query("opponent_access", f"""
+    with access as (select distinct c_custkey % 50 as user_id, c_nationkey::bigint as team_id from customer where c_custkey % 20 = 1)
+    select user_id, team_id from access union select a.user_id, s.opponent_id from access as a join {_SIDES} on s.team_id = a.team_id""".replace("as sides on s.", "as s on s."))
+def opponent_access(t):
+    access = t("customer").filter("c_custkey % 20 = 1").select((F.col("c_custkey") % 50).alias("user_id"), F.col("c_nationkey").cast("bigint").alias("team_id")).distinct()
+    return links.reachable_opponents(t("games"), access)
+
+
+@query("games_of_teams", f"select id, count(distinct game_id) as games from (select n_nationkey::bigint + 5 as id from nation) as t left join {_SIDES} on team_id = id group by all")
+def games_of_teams(t):
+    return links.games_of_teams(t("games"), t("nation").select((F.col("n_nationkey").cast("bigint") + 5).alias("id")))
+
+
+@query("delete_preview", """
+    select team_id, sum(b)::bigint as batting, sum(p)::bigint as pitching, sum(l)::bigint as links, sum(b + p + l)::bigint as total from (
+        select team_id, count(*) as b, 0 as p, 0 as l from batting group by all union all select team_id, 0, count(*), 0 from pitching group by all union all
+        select s_nationkey::bigint, 0, 0, count(*) from supplier group by all) as c group by all""")
+def delete_preview(t):
+    return links.delete_preview({"batting": t("batting"), "pitching": t("pitching"), "links": t("supplier").select(F.col("s_nationkey").cast("bigint").alias("team_id"))})
+
+
+@query("distinct_where", "select team_id, count(distinct case when perspective_team_id = team_id then game_id end) as own_games, count(distinct case when perspective_team_id <> team_id then game_id end) as others_games from pitching group by all")
+def distinct_where(t):
+    own = F.col("perspective_team_id") == F.col("team_id")
+    return links.distinct_where(t("pitching"), "team_id", "game_id", own_games=own, others_games=~own)
+
+
+@query("joined_names", "select s_nationkey, string_agg(distinct s_name, ', ' order by s_name) as names from supplier group by all")
+def joined_names(t):
+    return links.joined_names(t("supplier"), "s_nationkey", "s_name")
+
+
+@query("supplemented_opponents", """
+    select s_suppkey as id, s_name as name from supplier where s_suppkey % 3 = 0 union all select c_custkey, c_name from customer where not exists (select 1 from supplier where s_suppkey % 3 = 0 and s_suppkey = c_custkey)""")
+def supplemented_opponents(t):
+    return links.supplemented(t("supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+
+
+@query("profile_union", """
+    select distinct player_id % 50 as player_id, season_id, team_id, ab % 3 as ab, null::bigint as ip_outs from batting union select player_id % 50, season_id, team_id, null, ip_outs % 3 from pitching""")
+def profile_union(t):
+    key = (F.col("player_id") % 50).alias("player_id")
+    return links.profile_rows(t("batting").select(key, "season_id", "team_id", (F.col("ab") % 3).alias("ab")), t("pitching").select(key, "season_id", "team_id", (F.col("ip_outs") % 3).alias("ip_outs")), ["player_id", "season_id", "team_id"])
+
+
+@query("live_reports", "select o_orderkey as report_id, o_orderdate::date < date '1997-06-15' as is_expired, o_orderstatus = 'F' and not o_orderdate::date < date '1997-06-15' as is_served from orders")
+def live_reports(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").cast("date").alias("expires_at"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("status"))
+    return links.live_reports(rows, _day()).select("report_id", "is_expired", "is_served")
+
+
+_SOME_TEAMS = "(select p_partkey as id, case when p_partkey % 6 = 0 then 'member' else 'tracked' end as membership_type from part)"
+
+
+@query("removable_teams", f"""
+    select id from {_SOME_TEAMS} as t where membership_type = 'tracked' and not exists (select 1 from customer where c_custkey * 7 = id) and not exists (select 1 from supplier where s_suppkey * 3 = id or s_suppkey * 5 = id)
+        and not exists (select 1 from nation where n_nationkey = id) and not exists (select 1 from events where user_id % 1000 + 1 = id and (user_id % 500) % 6 = 0) and not exists (select 1 from events where user_id % 500 = id and (user_id % 1000 + 1) % 6 = 0 and user_id % 1000 + 1 <= (select max(p_partkey) from part))""")
+def removable_teams(t):
+    teams = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 == 0, "member").otherwise("tracked").alias("membership_type"))
+    # member teams are those of the table of teams; a team 0 stands for one as well
+    teams = teams.union(teams.limit(1).select(F.lit(0).cast("bigint"), F.lit("member")))
+    null = F.lit(None)
+    games_ = t("events").select(F.col("event_id").alias("game_id"), F.lit(1).alias("season_id"), null.alias("game_date"), null.alias("start_time"), null.alias("status"), (F.col("user_id") % 1000 + 1).alias("home_team_id"), (F.col("user_id") % 500).alias("away_team_id"), null.alias("home_score"), null.alias("away_score"))
+    link = t("supplier").select((F.col("s_suppkey") * 3).alias("resolved_team_id"), (F.col("s_suppkey") * 5).alias("our_team_id"))
+    return links.removable_teams(teams, t("customer").select((F.col("c_custkey") * 7).alias("team_id")), link, t("nation").select(F.col("n_nationkey").cast("bigint").alias("team_id")), games_)
+
+
+@query("game_overlaps", f"""
+    with own as (select distinct game_id, player_id from pitching where {_OWN}), pairs as (select s_suppkey as canonical_id, s_suppkey + 1 as duplicate_id from supplier)
+    select canonical_id, duplicate_id, count(*) as games from pairs join own as a on a.player_id = canonical_id join own as b on b.player_id = duplicate_id and a.game_id = b.game_id group by all""")
+def game_overlaps(t):
+    return links.overlapping(t("supplier").select(F.col("s_suppkey").alias("canonical_id"), (F.col("s_suppkey") + 1).alias("duplicate_id")), t("pitching"))
+
+
+@query("never_met", f"""
+    select * from (select a.id as canonical_id, a.id + 3 as duplicate_id from teams as a) as p where not exists (select 1 from (select * from {_SIDES} where season_id = 1997 and game_id % 50 = 1) as m where m.team_id = canonical_id and m.opponent_id = duplicate_id)""")
+def never_met(t):
+    pairs = t("teams").select(F.col("id").alias("canonical_id"), (F.col("id") + 3).alias("duplicate_id"))
+    return links.never_met(pairs, t("games").filter("season_id = 1997 and game_id % 50 = 1"))
+
+
+@query("top_pitchers", f"select team_id, season_id, player_id, ip_outs, nth from (select *, row_number() over (partition by team_id, season_id order by ip_outs desc, player_id) as nth from {_SEASON_PITCHING} where ip_outs > 0) as r where nth <= 3")
+def top_pitchers(t):
+    rows = batting.season_pitching(t("pitching")).filter("ip_outs > 0").select("team_id", "season_id", "player_id", "ip_outs")
+    return links.top_rows(rows, ["team_id", "season_id"], [F.desc("ip_outs"), F.asc("player_id")], 3)
+
+
+@query("latest_seasons", "select team_id, max(season_id::string) as season_id, min(extract(year from game_date))::string || '-spring' as crawl_season from pitching group by all")
+def latest_seasons(t):
+    return t("pitching").groupBy("team_id").agg(F.max(F.col("season_id").cast("string")).alias("season_id"), F.concat(F.min(F.year("game_date")).cast("string"), F.lit("-spring")).alias("crawl_season"))
+
+
+@query("team_keys", r"""
+    select c_custkey, case when c_custkey % 4 = 0 then 'abc' || c_custkey || 'xyz' when c_custkey % 4 = 1 then '01234567-89ab-cdef-0123-' || lpad(c_custkey::string, 12, '0') when c_custkey % 4 = 2 then null else 'AbCdEf' || c_custkey end as team_key,
+        case when c_custkey % 4 = 1 then 'uuid' when c_custkey % 4 = 2 then null else 'slug' end as kind, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then c_name else c_name || ' Post 5' end as bare,
+        case when c_custkey % 3 = 0 then 'long' when c_custkey % 3 = 1 then 'short' end as program from customer""")
+def team_keys(t):
+    n, text_n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    given = F.when(n % 4 == 0, F.concat(F.lit("https://x.test/teams/abc"), text_n, F.lit("xyz/schedule?q=1"))).when(n % 4 == 1, F.concat(F.lit(" 01234567-89ab-cdef-0123-"), F.lpad(text_n, 12, "0"))).when(n % 4 == 2, F.concat(F.lit("a/b"), text_n)).otherwise(F.concat(F.lit("AbCdEf"), text_n))
+    key, kind = text.team_key(given)
+    name = F.when(n % 3 == 0, F.concat("c_name", F.lit(" Junior  Varsity 12U".replace("  ", " ")))).when(n % 3 == 1, F.concat("c_name", F.lit(" JV Frosh "))).otherwise(F.concat("c_name", F.lit(" Post 5 Legion")))
+    program = text.program_of(F.when(n % 3 == 0, F.lit("The NORTH side High")).when(n % 3 == 1, F.lit("north")).otherwise("south"), {"North": "short", "North Side": "long"})
+    return t("customer").select("c_custkey", key.alias("team_key"), kind.alias("kind"), text.without_level(name).alias("bare"), program.alias("program"))
+
+
+@query("shown_texts", r"""
+    select player_id, team_id, season_id, case when pitches is null then '?' else pitches::string end || 'p (' || games || 'g)' as workload, case when so = 0 then '-' when bb >= so and bb % so = 0 and bb = so then '1.000' else regexp_replace(printf('%.3f', bb::double / so), '^0', '') end as rate,
+        case when games = 1 then '—' else printf('%.1f', (so * 100)::double / (so + bb)) || '%' end as share, case when games % 3 = 0 then 'Today' when games % 3 = 1 then '—' else '2d' end as last, so::double / nullif(bb, 0) as k_per_bb, pitches // games as mean_pitches
+    from (select team_id, season_id, player_id, count(distinct game_id) as games, sum(so)::bigint as so, sum(bb)::bigint as bb, sum(pitches)::bigint as pitches from pitching where perspective_team_id = team_id group by all having sum(so) + sum(bb) > 0) as s""")
+def shown_texts(t):
+    own = t("pitching").filter("perspective_team_id = team_id").groupBy("team_id", "season_id", "player_id").agg(F.count_distinct("game_id").alias("games"), *(F.sum(c).cast("bigint").alias(c) for c in ("so", "bb", "pitches")))
+    own = own.filter("so + bb > 0")
+    share = F.when(F.col("games") > 1, rates.percent(F.col("so"), F.col("so") + F.col("bb")))
+    days = F.when(F.col("games") % 3 == 0, 0).when(F.col("games") % 3 == 2, 2)
+    return own.select(
+        "player_id", "team_id", "season_id", text.workload_text(F.col("pitches"), F.col("games")).alias("workload"), text.rate_text(F.try_divide(F.col("bb").cast("double"), F.col("so").cast("double"))).alias("rate"), text.percent_text(share).alias("share"), text.last_outing_text(days).alias("last"),
+        rates.per(F.col("so"), F.col("bb")).alias("k_per_bb"), F.expr("pitches div games").alias("mean_pitches"),
+    )

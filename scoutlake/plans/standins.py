@@ -54,7 +54,9 @@ def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
     used = [n for n in VIEWS if f" {n}" in text.replace("\n", " ")]
     names = {t: t for t in TABLES}
-    return "with " + ", ".join(f"{n} as ({VIEWS[n].format(**names)})" for n in used) + " " + text if used else text
+    own = ", ".join(f"{n} as ({VIEWS[n].format(**names)})" for n in used)
+    rest = text.strip()
+    return f"with {own}, {rest[5:]}" if used and rest.startswith("with ") else f"with {own} {rest}" if used else text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
