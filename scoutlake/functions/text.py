@@ -113,14 +113,28 @@ def program_of(name: Column, programs: dict[str, str]) -> Column:
     return out
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, ties to even, as Python's and C's formats round; Java's do not.
+
+    The value is split into halves of its bits, so that twice its multiple is compared with an odd number without an error.
+    """
+    scale = float(10**digits)
+    low = F.floor(value * scale).cast("double")
+    big = value * 134217729.0
+    high = big - (big - value)
+    over = (high * (2 * scale) - (2 * low + 1)) + (value - high) * (2 * scale)
+    up = (over > 0) | ((over == 0) & (low % 2 == 1))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
 def percent_text(value: Column) -> Column:
     """62.5%, or a dash for null."""
-    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit("%")))
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", _rounded(value, 1)), F.lit("%")))
 
 
 def rate_text(value: Column) -> Column:
     """.342, 1.000, or - for null."""
-    shown = F.format_string("%.3f", F.bround(value, 3))
+    shown = F.format_string("%.3f", _rounded(value, 3))
     return F.when(value.isNull(), "-").when(shown.startswith("0."), F.substring(shown, 2, 10)).otherwise(shown)
 
 
