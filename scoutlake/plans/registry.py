@@ -529,23 +529,36 @@ def name_classify(t):
     return t("customer").select("c_custkey", text.classification(F.concat("c_name", tail)).alias("level"))
 
 
-@query("pii_email_hits", r"""
-    select doc_id, line, 'email' as kind, match from (
-        select doc_id, line, unnest(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) as match from (
-            select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) as l) as m
-    where not regexp_matches(lower(match), '@(.*\.)?(example\.com|example\.net|example\.org|test|example|invalid|localhost)$')""")
+_LINES = r"""(select doc_id, body, line from (select doc_id, unnest(parts) as body, unnest(range(1, len(parts) + 1)) as line from (
+    select doc_id, regexp_split_to_array({text}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') as parts from documents) as p) as l where not contains(body, 'pii-ok'))"""
+_FOUND = "select doc_id, line, '{kind}' as kind, unnest(regexp_extract_all(body, '{pattern}')) as match from {lines} as t"
+
+
+def _found(kind: str, text: str = "text") -> str:
+    return _FOUND.format(kind=kind, pattern=text_scan.PATTERNS[kind].replace("'", "''"), lines=_LINES.replace("{text}", text))
+
+
+@query("pii_email_hits", f"""
+    select * from ({_found("email", "replace(text, 'example.', 'school.')")}) as m
+    where not regexp_matches(lower(match), '@(.*\\.)?(example\\.com|example\\.net|example\\.org|test|example|invalid|localhost)$')""")
 def pii_email_hits(t):
-    return text_scan.findings(t("documents"), "doc_id", kinds=("email",))
+    return text_scan.findings(t("documents").withColumn("text", F.replace("text", F.lit("example."), F.lit("school."))), "doc_id", kinds=("email",))
 
 
-@query("email_lines", r"""
-    select doc_id, line, 'email' as kind, match from (
-        select doc_id, line, unnest(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) as match from (
-            select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) as l) as m""")
+@query("email_lines", _found("email"))
 def email_lines(t):
     return text_scan.findings(t("documents"), "doc_id", kinds=("email",), reserved=())
 
 
+_KEYS = "replace(replace(text, 'token', 'access_token'), 'password: ', 'Bearer ')"
+
+
+@query("pii_credentials", _found("bearer_token", _KEYS) + " union all " + _found("api_key_assignment", _KEYS))
+def pii_credentials(t):
+    renamed = F.replace(F.replace("text", F.lit("token"), F.lit("access_token")), F.lit("password: "), F.lit("Bearer "))
+    return text_scan.findings(t("documents").withColumn("text", renamed), "doc_id", kinds=("bearer_token", "api_key_assignment"))
+
+
 @query("pii_scan")
 def pii_scan(t):
     return text_scan.findings(t("documents"), "doc_id")
