@@ -732,3 +732,55 @@ def shown_texts(t):
         "player_id", "team_id", "season_id", text.workload_text(F.col("pitches"), F.col("games")).alias("workload"), text.rate_text(F.try_divide(F.col("bb").cast("double"), F.col("so").cast("double"))).alias("rate"), text.percent_text(share).alias("share"), text.last_outing_text(days).alias("last"),
         rates.per(F.col("so"), F.col("bb")).alias("k_per_bb"), F.expr("pitches div games").alias("mean_pitches"),
     )
+
+
+@query("guarded_upsert", """
+    with o as (select o_orderkey as game_id, case when o_orderstatus = 'F' then 'completed' else 'scheduled' end as status, o_custkey as score from orders where o_orderkey % 3 > 0),
+        n as (select o_orderkey as game_id, case when o_orderkey % 5 = 0 then 'completed' else 'scheduled' end as status, o_custkey + 1 as score from orders where o_orderkey % 2 = 0)
+    select game_id, case when n.game_id is null or o.status = 'completed' then o.status else n.status end as status, case when n.game_id is null then o.score else n.score end as score from o full join n using (game_id)""")
+def guarded_upsert(t):
+    key, status = F.col("o_orderkey").alias("game_id"), lambda c: F.when(c, "completed").otherwise("scheduled").alias("status")
+    old = t("orders").filter("o_orderkey % 3 > 0").select(key, status(F.col("o_orderstatus") == "F"), F.col("o_custkey").alias("score"))
+    new = t("orders").filter("o_orderkey % 2 = 0").select(key, status(F.col("o_orderkey") % 5 == 0), (F.col("o_custkey") + 1).alias("score"), F.col("o_orderkey").alias("seq"))
+    return tables.upsert_guarded(old, new, ["game_id"])
+
+
+@query("games_not_loaded", "select game_id, perspective_team_id, player_id from pitching as p where not exists (select 1 from pitching as l where l.ip_outs = 3 and l.game_id = p.game_id and l.perspective_team_id = p.perspective_team_id)")
+def games_not_loaded(t):
+    rows = t("pitching")
+    return tables.not_loaded(rows, rows.filter("ip_outs = 3"), ["game_id", "perspective_team_id"]).select("game_id", "perspective_team_id", "player_id")
+
+
+@query("team_delete", "select game_id, team_id, perspective_team_id, player_id from pitching where team_id <> 3 and perspective_team_id <> 3")
+def team_delete(t):
+    return tables.without_team(t("pitching"), F.lit(3)).select("game_id", "team_id", "perspective_team_id", "player_id")
+
+
+@query("canonical_teams", """
+    select name, pass, id as canonical_id from (select p_brand as name, (p_partkey % 2)::bigint as pass, p_partkey as id, row_number() over (partition by p_brand, p_partkey % 2 order by p_partkey % 4 = 0 desc, p_size desc, p_partkey) as nth from part) as r where nth = 1""")
+def canonical_teams(t):
+    n = F.col("p_partkey")
+    return identity.canonical_teams(t("part").select(F.col("p_brand").alias("name"), (n % 2).alias("pass"), n.alias("id"), (n % 4 == 0).alias("has_stats"), F.col("p_size").alias("games")))
+
+
+@query("teams_to_scout", f"""
+    select distinct resolved_team_id as team_id from {_LINKS} as l where resolved_team_id is not null and is_hidden = 0
+        and not exists (select 1 from customer where c_nationkey = resolved_team_id and c_custkey % 60 = 7) and not exists (select 1 from supplier where s_suppkey % 25 = resolved_team_id and s_suppkey % 8 = 1 and s_suppkey % 48 <= 24)""")
+def teams_to_scout(t):
+    now = F.lit("2026-04-02 00:00:00").cast("timestamp")
+    running = t("customer").filter("c_custkey % 60 = 7").select(F.col("c_nationkey").cast("bigint").alias("team_id"), F.lit("running").alias("state"), F.lit(None).cast("timestamp").alias("ended_at"))
+    ended = t("supplier").filter("s_suppkey % 8 = 1").select((F.col("s_suppkey") % 25).alias("team_id"), F.lit("done").alias("state"), (now - F.make_interval(hours=(F.col("s_suppkey") % 48).cast("int"))).alias("ended_at"))
+    return identity.to_scout(_links(t), running.union(ended), now)
+
+
+@query("merged_players", """
+    with r as (select game_id, perspective_team_id, player_id as was, player_id - player_id % 3 as player_id, seq, case player_id % 4 when 0 then 'full' when 1 then 'supplemented' else 'boxscore_only' end as stat_completeness from (select game_id, perspective_team_id, player_id, min(seq) as seq from pitching group by all) as p)
+    select game_id, perspective_team_id, player_id, stat_completeness, seq from r qualify row_number() over (partition by game_id, player_id, perspective_team_id
+        order by case stat_completeness when 'full' then 3 when 'supplemented' then 2 else 1 end desc, was = player_id desc, was) = 1""")
+def merged_players(t):
+    kind = F.when(F.col("player_id") % 4 == 0, "full").when(F.col("player_id") % 4 == 1, "supplemented").otherwise("boxscore_only")
+    # one line for each player, so that ties of a line with itself do not matter
+    lines = t("pitching").withColumn("stat_completeness", kind).groupBy("game_id", "perspective_team_id", "player_id", "stat_completeness").agg(F.min("seq").alias("seq"))
+    n = F.col("player_id")
+    names = lines.filter("player_id % 3 > 0").select(n.alias("duplicate_id"), (n - n % 3).alias("canonical_id")).distinct()
+    return identity.merged_players(lines, names)
