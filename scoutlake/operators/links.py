@@ -122,3 +122,15 @@ def never_met(pairs: DataFrame, games: DataFrame) -> DataFrame:
 def top_rows(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, numbered from 1."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).filter(F.col("nth") <= n)
+
+
+def linked_by_name(links: DataFrame, teams: DataFrame) -> DataFrame:
+    """link_id with the least id of the teams of exactly its name; null where no team has it."""
+    named = teams.groupBy("name").agg(F.min("id").alias("named_team_id"))
+    return links.join(named, "name", "left").select("link_id", "named_team_id")
+
+
+def events_by_player(balls: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
+    """player_id, events: a player's batted balls as an array of structs, in order."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, *(c for c in fields if c not in order))))
+    return balls.groupBy("player_id").agg(F.transform(listed, lambda e: F.struct(*(e[c].alias(c) for c in fields))).alias("events"))

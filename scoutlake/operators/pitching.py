@@ -233,3 +233,13 @@ def rest_table(made: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("as_starter"), F.when(F.col("as_starter"), F.col("starts")).desc_nulls_last(), F.desc("games"), "player_id"))
     kept = rows.filter(F.col("as_starter") | (F.col("starts") == 0))
     return kept.withColumn("nth", nth.cast("bigint")).filter("nth <= 3").select(*keys, "player_id", "starts", "games", "nth")
+
+
+def with_order_filled(lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """lines whose null appearance_order is the place at which a box score lists the pitcher (game_id, team_id, pitchers: in order).
+
+    A pitcher that is listed twice has the first place; an order that is known stays.
+    """
+    places = listed.select("game_id", "team_id", F.posexplode("pitchers").alias("_at", "player_id")).groupBy("game_id", "team_id", "player_id").agg((F.min("_at") + 1).cast("bigint").alias("_order"))
+    rows = lines.join(places, ["game_id", "team_id", "player_id"], "left")
+    return rows.withColumn("appearance_order", F.coalesce("appearance_order", "_order")).drop("_order").select(*lines.columns)

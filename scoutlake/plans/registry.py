@@ -784,3 +784,34 @@ def merged_players(t):
     n = F.col("player_id")
     names = lines.filter("player_id % 3 > 0").select(n.alias("duplicate_id"), (n - n % 3).alias("canonical_id")).distinct()
     return identity.merged_players(lines, names)
+
+
+@query("order_backfill", """
+    with b as (select game_id, team_id, player_id, min(nth) as nth from (select *, row_number() over (partition by game_id, team_id order by seq) as nth from pitching where player_id % 5 > 0) as l group by all)
+    select p.game_id, p.team_id, p.player_id, p.seq, coalesce(p.appearance_order, b.nth) as appearance_order from pitching as p left join b on b.game_id = p.game_id and b.team_id = p.team_id and b.player_id = p.player_id""")
+def order_backfill(t):
+    rows = t("pitching")
+    listed = rows.filter("player_id % 5 > 0").groupBy("game_id", "team_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "player_id"))), lambda s: s["player_id"]).alias("pitchers"))
+    return pitching.with_order_filled(rows, listed).select("game_id", "team_id", "player_id", "seq", "appearance_order")
+
+
+@query("links_by_name", """
+    select c_custkey as link_id, (select min(p_partkey) from part where p_brand = 'Brand#' || (c_custkey % 60)) as named_team_id from customer""")
+def links_by_name(t):
+    rows = t("customer").select(F.col("c_custkey").alias("link_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 60).cast("string")).alias("name"))
+    return links.linked_by_name(rows, t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")))
+
+
+@query("balls_by_player", """
+    select player_id, string_agg(play_result || ':' || y::int::string, ',' order by y, play_result) as events from balls group by all""")
+def balls_by_player(t):
+    found = links.events_by_player(t("balls"), ["y", "play_result"], ["play_result", "y"])
+    return found.select("player_id", F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["play_result"], e["y"].cast("int").cast("string"))), ",").alias("events"))
+
+
+@query("opponents_ordered", f"""
+    select team_id, season_id, opponent_id, row_number() over (partition by team_id, season_id order by next_date nulls last, lower(name), opponent_id) as nth from (
+        select team_id, season_id, opponent_id, min(case when game_date >= date '1997-06-15' then game_date end) as next_date from {_SIDES} group by all) as o left join teams on id = opponent_id""")
+def opponents_ordered(t):
+    rows = games.opponents(t("games"), _day()).join(t("teams").select(F.col("id").alias("opponent_id"), "name"), "opponent_id", "left")
+    return links.top_rows(rows, ["team_id", "season_id"], [F.col("next_date").asc_nulls_last(), F.lower("name").asc_nulls_last(), F.asc("opponent_id")], 1 << 30).select("team_id", "season_id", "opponent_id", "nth")
