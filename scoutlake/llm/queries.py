@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scoutlake.llm import centroids
 from scoutlake.llm.bpe import op3_backtracking
+from scoutlake.llm.centroids import op13_dual_tree
 from scoutlake.llm.decontaminate import op2_winnowing
 from scoutlake.llm.jaccard import op8_combination_prefixes
 from scoutlake.llm.language import op10_kneser_ney
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_combination_prefixes": op8_combination_prefixes,
     "op9_factorisation": op9_factorisation,
     "op10_kneser_ney": op10_kneser_ney,
+    "op13_dual_tree": op13_dual_tree,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_dual_tree": centroids.sql()}
