@@ -49,6 +49,47 @@ VIEWS = {
         from {events}""",
 }
 
+#: Plate appearances of a game with their true pitchers: nth of the half-inning side, k the pitcher's number.
+_TRUE = """(select *, case when 2 * n <= m then 0 when 4 * n <= 3 * m then 1 else 2 end as k, case when half = 'top' then home else away end as throws, case when half = 'top' then away else home end as bats,
+            case (event_id * 7 + user_id) % 13 when 0 then 'Single' when 1 then 'Strikeout' when 2 then 'Walk' when 3 then 'Fly Out' when 4 then 'Double' when 6 then 'Hit By Pitch' when 7 then 'Home Run' when 8 then 'Intentional Walk'
+                when 9 then 'Sacrifice Fly' when 10 then 'Dropped 3rd Strike' when 11 then 'Triple' else 'Ground Out' end as outcome
+        from (select user_id, event_id, user_id % 25 as home, (user_id + 7) % 25 as away, case when event_id % 2 = 0 then 'top' else 'bottom' end as half,
+            row_number() over (partition by user_id, event_id % 2 order by event_id) as n, count(*) over (partition by user_id, event_id % 2) as m from {events}) as e) as t"""
+_SEEN = "(select 0 as away_sees union all select 1 as away_sees) as seen"
+_SEES = "(away_sees = 0 or user_id % 3 = 0)"
+_SEER = "case when away_sees = 1 then away else home end as perspective_team_id"
+
+VIEWS |= {
+    "recon_games": """
+        select distinct user_id as game_id, user_id % 25 as home_team_id, (user_id + 7) % 25 as away_team_id, case when user_id % 11 = 3 then null else user_id % 9 end as home_score, user_id % 6 as away_score
+        from {events} where user_id % 29 <> 5""",
+    "recon_plays": f"""
+        select user_id as game_id, {_SEER}, event_id as play_order, half, bats as batting_team_id, case when event_id % 31 = 0 then null else bats * 1000 + n % 9 end as batter_id,
+            case when user_id % 4 = 2 and n % 9 = 0 then null when user_id % 4 = 3 and n % 10 = 3 then throws * 100 + 7 when user_id % 4 <> 1 then throws * 100 + k
+                when 2 * (n - 2) <= m then throws * 100 when 4 * (n - 2) <= 3 * m then throws * 100 + 1 else throws * 100 + 2 end as pitcher_id,
+            outcome, 1 + event_id % 6 as pitch_count, case when outcome like '%Out' or outcome in ('Strikeout', 'Sacrifice Fly') then 1 else 0 end as did_outs_change
+        from {_TRUE}, {_SEEN} where {_SEES}""",
+    "recon_events": f"""
+        select user_id as game_id, {_SEER}, event_id as play_order, j as event_order, case (event_id + j) % 5 when 0 then 'strike_looking' when 1 then 'ball' when 2 then 'foul' when 3 then 'in_play' end as pitch_result,
+            case when (event_id + j) % 5 < 4 then null when event_id % 17 = 0 then 'Runner advances on Wild Pitch' else 'Runner steals' end as template
+        from {_TRUE}, {_SEEN}, (select 0 as j union all select 1 as j union all select 2 as j) as js where {_SEES}""",
+    "recon_pitching": f"""
+        select user_id as game_id, {_SEER}, throws as team_id, throws * 100 + k as player_id, case when c_nationkey % 7 = 3 then null else cast(k + 1 as bigint) end as appearance_order,
+            cast(count(*) + case when c_nationkey % 5 = 2 and k = 2 then 1 else 0 end as bigint) as bf, cast(sum(case when outcome like '%Out' or outcome in ('Strikeout', 'Sacrifice Fly') then 1 else 0 end) as bigint) as ip_outs,
+            cast(sum(case when outcome in ('Strikeout', 'Dropped 3rd Strike') then 1 else 0 end) + case when c_nationkey % 5 = 0 and k = 1 then 1 else 0 end as bigint) as so, cast(sum(case when outcome in ('Walk', 'Intentional Walk') then 1 else 0 end) as bigint) as bb,
+            cast(sum(case when outcome = 'Hit By Pitch' then 1 else 0 end) as bigint) as hbp, cast(sum(case when outcome in ('Single', 'Double', 'Triple', 'Home Run') then 1 else 0 end) as bigint) as h,
+            case when c_nationkey % 5 = 1 then null else cast(sum(1 + event_id % 6) + c_nationkey % 3 as bigint) end as pitches, cast(sum(case when event_id % 5 in (0, 4) then 1 else 2 end) as bigint) as total_strikes,
+            cast(sum(case when event_id % 17 = 0 then 1 else 0 end) as bigint) as wp, cast(case when user_id % 5 = 0 then 10 - k else k end as bigint) as seq
+        from {_TRUE} join {{customer}} on c_custkey = user_id + 1, {_SEEN} where {_SEES} group by user_id, home, away, away_sees, throws, k, c_nationkey
+        union all select c_custkey - 1, case when away_sees = 1 then (c_custkey + 6) % 25 else (c_custkey - 1) % 25 end, (c_custkey - 1) % 25, (c_custkey - 1) % 25 * 100 + case when c_nationkey % 6 = 5 then 5 else 0 end, 9, 0, 1, 1, 0, 0, 0, null, 3, null, 90
+        from {{customer}}, {_SEEN} where (away_sees = 0 or (c_custkey - 1) % 3 = 0) and (c_nationkey % 6 = 5 or c_custkey % 23 = 4)""",
+    "recon_batting": f"""
+        select user_id as game_id, {_SEER}, bats as team_id, bats * 1000 + n % 9 as player_id,
+            cast(sum(case when outcome in ('Walk', 'Hit By Pitch', 'Sacrifice Fly', 'Intentional Walk') then 0 else 1 end) as bigint) as ab, cast(sum(case when outcome in ('Single', 'Double', 'Triple', 'Home Run') then 1 else 0 end) as bigint) as h,
+            case when c_nationkey % 4 = 1 and n % 9 = 2 then null else cast(sum(case when outcome in ('Strikeout', 'Dropped 3rd Strike') then 1 else 0 end) as bigint) end as so, cast(sum(case when outcome in ('Walk', 'Intentional Walk') then 1 else 0 end) as bigint) as bb, cast(c_nationkey % 2 as bigint) as hbp
+        from {_TRUE} join {{customer}} on c_custkey = user_id + 1, {_SEEN} where {_SEES} and n % 9 <> user_id % 10 group by user_id, home, away, away_sees, bats, n % 9, c_nationkey""",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
