@@ -90,6 +90,38 @@ VIEWS |= {
         from {_TRUE} join {{customer}} on c_custkey = user_id + 1, {_SEEN} where {_SEES} and n % 9 <> user_id % 10 group by user_id, home, away, away_sees, bats, n % 9, c_nationkey""",
 }
 
+_SUPPLIED = "{lineitem} join {orders} on l_orderkey = o_orderkey join {supplier} on l_suppkey = s_suppkey"
+_SEEN_BY = "cast(case when l_partkey % 3 = 0 then (s_nationkey + 1) % 25 else s_nationkey end as bigint)"
+_COMPLETE = "case max(l_linenumber) % 3 when 0 then 'full' when 1 then 'boxscore_only' else 'supplemented' end"
+VIEWS |= {
+    # suppliers as players, three neighbours being one: the first is canonical, the third a duplicate of the second
+    "merge_pairs": "select s_suppkey as duplicate_id, s_suppkey - 1 as canonical_id from {supplier} where s_suppkey % 3 > 0",
+    "merge_players": "select s_suppkey as player_id, case s_suppkey % 4 when 0 then 'Unknown' when 1 then 'Jo' when 2 then 'Joan' else 'J' end as first_name, case when s_suppkey % 5 = 0 then null else substring(s_name, 1, 9 + cast(s_suppkey % 7 as int)) end as last_name from {supplier}",
+    "merge_rosters": "select s_suppkey as player_id, cast(case when s_suppkey % 2 = 0 then s_nationkey else 3 end as bigint) as team_id, y as season_id, cast(s_suppkey % 99 as string) as jersey_number from {supplier}, (select 1995 as y union all select 1996 as y) as years",
+    "merge_batting": f"""
+        select l_orderkey as game_id, l_suppkey as player_id, cast(s_nationkey as bigint) as team_id, {_SEEN_BY} as perspective_team_id, {_COMPLETE} as stat_completeness,
+            {", ".join(f"cast(sum((l_partkey + {i}) % {m}) as bigint) as {c}" for i, (c, m) in enumerate({"ab": 6, "h": 4, "doubles": 2, "triples": 2, "hr": 2, "rbi": 5, "r": 3, "bb": 3, "so": 4, "hbp": 2, "sb": 3, "cs": 2, "tb": 7}.items()))}, cast(sum(case when l_partkey % 4 = 0 then null else 1 end) as bigint) as shf
+        from {_SUPPLIED} where l_linenumber % 2 = 1 group by l_orderkey, l_suppkey, s_nationkey, {_SEEN_BY}""",
+    "merge_pitching": f"""
+        select l_orderkey as game_id, l_suppkey as player_id, cast(s_nationkey as bigint) as team_id, {_SEEN_BY} as perspective_team_id, {_COMPLETE} as stat_completeness,
+            {", ".join(f"cast(sum((l_partkey + {i}) % {m}) as bigint) as {c}" for i, (c, m) in enumerate({"ip_outs": 9, "h": 4, "r": 3, "er": 2, "bb": 3, "so": 5, "wp": 2, "hbp": 2, "pitches": 40, "total_strikes": 30, "bf": 8}.items()))}, case max(l_partkey) % 5 when 0 then 'W' when 1 then 'L' when 2 then 'SV' end as decision
+        from {_SUPPLIED} where l_linenumber % 2 = 0 group by l_orderkey, l_suppkey, s_nationkey, {_SEEN_BY}""",
+    "merge_season_batting": """
+        select s_suppkey as player_id, cast(case when s_suppkey % 2 = 0 then s_nationkey else 3 end as bigint) as team_id, y as season_id, 'full' as stat_completeness, cast(-1 as bigint) as games_tracked, cast(7 as bigint) as gp, cast(40 as bigint) as pa,
+            cast(30 as bigint) as ab, cast(9 as bigint) as h, cast(5 as bigint) as singles, cast(2 as bigint) as doubles, cast(1 as bigint) as triples, cast(1 as bigint) as hr, cast(5 as bigint) as rbi, cast(6 as bigint) as r, cast(s_suppkey as bigint) as bb, cast(3 as bigint) as so, cast(1 as bigint) as hbp,
+            cast(2 as bigint) as shf, cast(0 as bigint) as sb, cast(0 as bigint) as cs, cast(17 as bigint) as tb, cast(4 as bigint) as xbh from {supplier}, (select 1995 as y union all select 1999 as y) as years""",
+    "merge_season_pitching": """
+        select s_suppkey as player_id, cast(s_nationkey as bigint) as team_id, y as season_id, 'full' as stat_completeness, cast(-1 as bigint) as games_tracked, cast(7 as bigint) as gp_pitcher, cast(40 as bigint) as ip_outs, cast(30 as bigint) as h, cast(9 as bigint) as r, cast(5 as bigint) as er, cast(2 as bigint) as bb,
+            cast(s_suppkey as bigint) as so, cast(1 as bigint) as wp, cast(1 as bigint) as hbp, cast(5 as bigint) as pitches, cast(6 as bigint) as total_strikes, cast(3 as bigint) as bf, cast(1 as bigint) as w, cast(0 as bigint) as l, cast(0 as bigint) as sv from {supplier}, (select 1996 as y union all select 1999 as y) as years""",
+    "merge_runs": "select cast(n_nationkey as bigint) as team_id, y as season_id, cast(n_nationkey * 3 % 7 as bigint) as last_checked from {nation}, (select 1995 as y union all select 1996 as y) as years",
+    # nations as teams, those from 12 on duplicates of lower ones; some pairs are refused
+    "team_pairs": "select cast(n_nationkey as bigint) as duplicate_id, cast(case when n_nationkey = 13 then 99 else n_nationkey - 6 end as bigint) as canonical_id from {nation} where n_nationkey >= 12 union all select 77, 1 union all select 3, 3",
+    "team_rows": "select cast(n_nationkey as bigint) as id, n_name as name, case when n_nationkey = 15 then 'member' else 'tracked' end as membership_type, case when n_nationkey % 4 = 0 then null else 'u' || cast(n_nationkey as string) end as gc_uuid, case when n_nationkey % 3 = 0 then null else 's' || cast(n_nationkey as string) end as public_id from {nation}",
+    "team_opponents": "select distinct cast(c_nationkey as bigint) as our_team_id, cast((c_nationkey + c_custkey % 11) % 25 as bigint) as opponent_team_id from {customer} where c_custkey % 11 > 0",
+    "team_links": "select cast(c_nationkey as bigint) as our_team_id, c_custkey % 10 as root_team_id, cast(max(case when c_custkey % 4 = 0 then null else (c_nationkey + c_custkey) % 25 end) as bigint) as resolved_team_id from {customer} group by c_nationkey, c_custkey % 10",
+    "team_plays": "select distinct user_id as game_id, cast(event_id % 40 as bigint) as play_order, cast(case when event_id % 2 = 0 then user_id % 25 else (user_id + 6) % 25 end as bigint) as perspective_team_id, cast((user_id + 6 * (event_id % 40 % 2)) % 25 as bigint) as batting_team_id from {events}",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
