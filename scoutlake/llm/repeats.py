@@ -32,13 +32,13 @@ from scoutlake.llm import shared
 SPAN = 100
 GRAM = 40
 #: Span starts that one numpy step looks at; a longer text is cut into steps, and so are its runs.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Anchors with more contexts than this are spread by span.
-HOT_CONTEXTS = 2000
+HOT_CONTEXTS = 1000
 #: Places (4 bytes each) that may be sent to every task; beyond it, they are joined with the texts.
 BROADCAST_PLACES = 10_000_000
 #: Suffixes (about 160 bytes each) that are sorted at once.
-SUFFIXES = 1 << 16
+SUFFIXES = 1 << 15
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
