@@ -122,6 +122,28 @@ VIEWS |= {
     "team_plays": "select distinct user_id as game_id, cast(event_id % 40 as bigint) as play_order, cast(case when event_id % 2 = 0 then user_id % 25 else (user_id + 6) % 25 end as bigint) as perspective_team_id, cast((user_id + 6 * (event_id % 40 % 2)) % 25 as bigint) as batting_team_id from {events}",
 }
 
+VIEWS |= {
+    # short seasons, so that there are many kinds of rotations
+    "predict_pitching": """
+        select l_orderkey as game_id, cast(o_orderdate as date) as game_date, case when o_orderkey % 5 = 0 then null else cast(10 + o_orderkey % 9 as string) end as start_time, case when o_orderkey % 8 = 3 then 'scheduled' else 'completed' end as status,
+            cast(extract(year from o_orderdate) * 10 + o_orderkey % 7 as bigint) as season_id, cast(s_nationkey as bigint) as team_id, cast(case when l_partkey % 6 = 0 then (s_nationkey + 1) % 25 else s_nationkey end as bigint) as perspective_team_id,
+            cast(s_nationkey * 10 + case when l_partkey % 4 < 2 then 0 else l_partkey % 4 + l_linenumber % 2 end as bigint) as player_id, case when s_nationkey % 4 = 1 then null else cast(l_linenumber as bigint) end as appearance_order,
+            cast(l_quantity as bigint) % 22 as ip_outs, l_partkey % 19 as so, l_partkey % 5 as bb, case when l_quantity = 13 then null else 2 * cast(l_quantity as bigint) end as pitches, case l_partkey % 6 when 0 then 'W' when 1 then 'L' end as decision, l_partkey * 10 + l_linenumber as seq
+        from {lineitem} join {orders} on l_orderkey = o_orderkey join {supplier} on l_suppkey = s_suppkey""",
+    "predict_players": "select cast(n_nationkey * 10 + k as bigint) as player_id, case when k = 3 then null else 'P' || cast(k as string) end as first_name, n_name as last_name from {nation}, (select 0 as k union all select 1 as k union all select 2 as k union all select 3 as k union all select 4 as k) as ks",
+    "predict_asked": """
+        select cast(n_nationkey as bigint) as team_id, cast(y * 10 + k as bigint) as season_id, cast(cast(y as string) || case when k % 2 = 0 then '-12-01' else '-03-20' end as date) as reference,
+            case n_nationkey % 7 when 3 then 'nsaa_subvarsity' when 4 then 'legion' when 5 then 'usssa' when 6 then case when k = 0 then 'unknown' else 'other' end else 'nsaa_varsity' end as league
+        from {nation}, (select 1992 as y union all select 1993 as y union all select 1994 as y union all select 1995 as y union all select 1996 as y union all select 1997 as y union all select 1998 as y) as ys,
+            (select 0 as k union all select 1 as k union all select 2 as k union all select 3 as k union all select 4 as k union all select 5 as k union all select 6 as k union all select 7 as k) as ks""",
+    "league_teams": """
+        select p_partkey as id, case p_size % 6 when 0 then 'hs' when 1 then 'legion' when 2 then '' when 3 then 'travel' when 4 then 'usssa' end as program_type, case p_partkey % 4 when 0 then 'jv' when 1 then 'varsity' when 2 then 'reserve' end as classification,
+            case p_partkey % 9 when 0 then '["usssa"]' when 1 then '["Perfect_Game", "NFHS"]' when 2 then '[]' when 3 then 'usssa' when 4 then '["other", 5]' when 5 then '["american_legion", "usssa"]' when 6 then '["nsaa"]' end as ngb,
+            case p_partkey % 5 when 0 then '14U' when 1 then 'High School' when 2 then 'u14' end as age_group,
+            case p_partkey % 11 when 0 then 'Lincoln JV' when 1 then 'Post 12 Reds' when 2 then 'Omaha Seniors' when 3 then '12u Juniors' when 4 then 'East Varsity' when 5 then 'West Junior  Varsity' when 6 then 'Sophomores' when 7 then 'American Legion' when 8 then 'Frosh Reserve' when 9 then p_name end as name
+        from {part}""",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
