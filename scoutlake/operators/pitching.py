@@ -1,4 +1,4 @@
-"""Pitching over time: workload, history, rest, profiles, density of games, eligibility and the likely starter.
+"""Pitching over time: workload, history, rest, profiles, density of games, eligibility.
 
 appearances: game_id, game_date, start_time, status, season_id, team_id, perspective_team_id, player_id, appearance_order,
 ip_outs, so, pitches, seq (a number of the row, unique within a game and player). Windows are by team or player and season,
@@ -7,9 +7,6 @@ so no window holds more than one team's season.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,71 +157,6 @@ def eligibility(appearances: DataFrame, reference: Column, rules: Column) -> Dat
     return made.select(*keys, "last_date", F.when(F.col("unknown") == 0, F.col("last_pitches")).alias("last_pitches"), rested.cast("bigint").alias("rested"), reason.alias("reason"), reason.isNull().alias("eligible"))
 
 
-def role(starts: Column, games: Column) -> Column:
-    share = rates.per(starts, games)
-    return F.when((share >= 0.6) & (starts >= 2), "primary").when(starts >= 1, "spot").otherwise("reliever")
-
-
-def rotation_pattern(made: DataFrame, team_games: DataFrame) -> DataFrame:
-    """Per team and season the kind of rotation, from the profiles and the number of the team's games (team_games)."""
-    ranked = made.filter("starts > 0").withColumn("nth", F.row_number().over(Window.partitionBy("team_id", "season_id").orderBy(F.desc("starts"), "player_id")))
-    tops = [F.max(F.when(F.col("nth") == n, F.col("starts"))).alias(f"top{n}") for n in (1, 2, 3)]
-    shares = ranked.filter("nth <= 3").groupBy("team_id", "season_id").agg(*tops)
-    one, two, three = (F.coalesce(rates.per(F.col(f"top{n}"), F.col("team_games")), F.lit(0.0)) for n in (1, 2, 3))
-    pattern = F.when(one >= 0.6, "ace-dominant").when((one >= 0.3) & (two >= 0.3), F.when(three >= 0.2, "3-man rotation").otherwise("2-man rotation")).otherwise("committee")
-    return team_games.join(shares, ["team_id", "season_id"], "left").select("team_id", "season_id", "team_games", pattern.alias("pattern"))
-
-
-def cycle_likelihoods(starters: list) -> dict:
-    """How likely each starter is next, from the starters in order: the one that follows the last in the cycle gets most."""
-    if not starters:
-        return {}
-    several = len(set(starters))
-    recent = starters[-2 * several :]
-    cycle = list(dict.fromkeys(recent))
-    if len(cycle) == 1:
-        return {cycle[0]: 0.7}
-    following = cycle[(cycle.index(recent[-1]) + 1) % len(cycle)]
-    return {p: 0.7 if p == following else 0.07 / (len(cycle) - 1) for p in cycle}
-
-
-def likely_starters(appearances: DataFrame, reference: Column, rules: Column) -> DataFrame:
-    """Per team and season: the candidates for the next start with their likelihoods, and how sure the first one is.
-
-    Catalyst makes starts, profiles and eligibility; one Python call sees the ordered starters of one team's season.
-    """
-    keys = ["team_id", "season_id"]
-    starts = start_intervals(appearances)
-    order = F.sort_array(F.collect_list(F.struct("game_date", F.coalesce("start_time", F.lit("~")).alias("at"), "game_id", "player_id")))
-    ordered = starts.groupBy(*keys).agg(F.transform(order, lambda s: s["player_id"]).alias("starters"))
-    schema = ", ".join(f"{k} {appearances.schema[k].dataType.simpleString()}" for k in [*keys, "player_id"]) + ", base double"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(t, s, p, x) for t, s, names in zip(frame["team_id"], frame["season_id"], frame["starters"], strict=True) for p, x in cycle_likelihoods(list(names)).items()]
-            yield pd.DataFrame(rows, columns=[*keys, "player_id", "base"])
-
-    base = ordered.mapInPandas(run, schema)
-    free = eligibility(appearances, reference, rules).filter("eligible")
-    made = profiles(appearances)
-    games = own(appearances).filter("status = 'completed'").groupBy(*keys).agg(F.count_distinct("game_id").alias("team_games"))
-    candidates = base.join(free, [*keys, "player_id"]).join(made.select(*keys, "player_id", "starts", "games", "k9"), [*keys, "player_id"])
-    candidates = candidates.withColumn("likelihood", F.col("base") + 0.3 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rested") / 7.0)))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("likelihood"), F.desc("starts"), "player_id"))
-    top = candidates.withColumn("nth", nth.cast("bigint")).filter("nth <= 3").join(rotation_pattern(made, games), keys)
-    team = Window.partitionBy(*keys)
-    at = lambda c, n: F.max(F.when(F.col("nth") == n, F.col(c))).over(team)
-    better = F.max(F.when(F.col("nth") > 1, F.coalesce("k9", F.lit(0.0)))).over(team) - F.coalesce(at("k9", 1), F.lit(0.0)) > 2.0
-    sure = (
-        F.when(F.max("nth").over(team) == 1, "high")
-        .when(rates.per(at("starts", 1), F.col("team_games")) <= 0.30, "low")
-        .when(at("likelihood", 1) >= 2.0 * at("likelihood", 2), F.when(better, "moderate").otherwise("high"))
-        .when(F.col("pattern") != "committee", "moderate")
-        .otherwise("low")
-    )
-    return top.select(*keys, "player_id", "nth", "likelihood", "starts", "pattern", "team_games", F.when(F.col("team_games") < 4, "none").otherwise(sure).alias("confidence"))
-
-
 def rest_table(made: DataFrame) -> DataFrame:
     """Per team and season: the two with most starts, then relievers with most games, three in all."""
     keys = ["team_id", "season_id"]

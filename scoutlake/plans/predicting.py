@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoutlake.operators import prediction
-from scoutlake.plans.catalog import query
+from scoutlake.plans.catalog import REFERENCE_DAY, day, query
 
 _T = "team_id, season_id"
 _RE = lambda p: p.replace("(?i)", "").replace("'", "''")
@@ -77,6 +77,25 @@ _SUMMARY = f"""
             when held then case when team_games <= 2 then 'Rest intervals not yet available -- ' || team_games || ' game(s) played' else 'Rotation pattern unclear -- 3 games played, rest data accumulating' end when dense then 'Compressed schedule detected -- rotation predictions less reliable.' end as data_note, team_games from sure)"""
 
 
+def _over(sql: str, appearances: str, players: str, asked: str) -> str:
+    """The same SQL over other tables."""
+    return sql.replace("predict_pitching", appearances).replace("predict_players", players).replace("predict_asked", asked).replace("decision", "null::varchar")
+
+
+_ALL = f"select distinct team_id, season_id, 'legion' as league, date '{REFERENCE_DAY}' as reference from pitching"
+
+
+@query("starter_predict", f"""with every as ({_ALL}), {_over(_BASE + ", " + _SUMMARY, "pitching", "pitchers", "every").replace("'null::varchar': null::varchar", "'decision': null::varchar")}
+    select {_T}, nth, player_id, likelihood, games_started as starts, reasoning, rotation_pattern as pattern, team_games, confidence from cands join whole using ({_T})""")
+def starter_predict(t):
+    """The candidates of every team's season on one day, all by one league's rules."""
+    rows = t("pitching")
+    asked = rows.select("team_id", "season_id").distinct().select("*", F.lit("legion").alias("league"), day().alias("reference"))
+    made = prediction.predictions(rows, t("pitchers"), asked)
+    each = made.select("team_id", "season_id", "rotation_pattern", "team_games", "confidence", F.explode("candidates").alias("c"))
+    return each.select("team_id", "season_id", F.col("c.nth").cast("bigint").alias("nth"), "c.player_id", "c.likelihood", F.col("c.games_started").alias("starts"), "c.reasoning", F.col("rotation_pattern").alias("pattern"), "team_games", "confidence")
+
+
 def _made(t):
     return prediction.predictions(t("predict_pitching"), t("predict_players"), t("predict_asked"))
 

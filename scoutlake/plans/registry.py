@@ -90,11 +90,6 @@ def pitch_eligibility(t):
     return pitching.eligibility(t("pitching"), _day(), pitching.rule_set(F.lit("varsity"), _day()))
 
 
-@query("starter_predict")
-def starter_predict(t):
-    return pitching.likely_starters(t("pitching"), _day(), pitching.rule_set(F.lit("legion"), _day()))
-
-
 @query("season_batting", f"select * from {_SEASON_BATTING}")
 def season_batting(t):
     return batting.season_batting(t("batting"))
