@@ -58,11 +58,11 @@ TEAM_RULES = {
 
 def final_names(pairs: DataFrame) -> DataFrame:
     """Pairs (duplicate_id, canonical_id) as names: each duplicate once (its least canonical id), with where the chain of
-    merges ends. A pair of one id with itself is none; pairs must not run in a circle."""
-    names = pairs.filter("duplicate_id <> canonical_id").groupBy("duplicate_id").agg(F.min("canonical_id").alias("canonical_id"))
+    merges ends. A pair of one id with itself is none; pairs must not run in a circle. Names are written down: every table needs them."""
+    names = tables.settled(pairs.filter("duplicate_id <> canonical_id").groupBy("duplicate_id").agg(F.min("canonical_id").alias("canonical_id")))
     on = names.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
     while not names.join(on.select("canonical_id"), "canonical_id", "left_semi").isEmpty():  # each round doubles the steps
-        names = names.join(on, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"))
+        names = tables.settled(names.join(on, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id")))
         on = names.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
     return names
 

@@ -6,10 +6,26 @@ the path. `seq` numbers the incoming rows; ties of a key are settled by it, so a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, its rows in the checkpoint folder: what is built on it has a short plan, and no executor's loss undoes it.
+
+    The folder is the session's; where none is set, one of this machine's under a local master, and an error on a cluster.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="scoutlake-"))
+    return df.checkpoint()
+
+
 def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The last row of each key. One aggregation, so a key with many rows is summed before it is shuffled."""
     others = [c for c in rows.columns if c not in keys]

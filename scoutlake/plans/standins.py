@@ -144,6 +144,19 @@ VIEWS |= {
         from {part}""",
 }
 
+VIEWS |= {
+    # customers as teams: several have one name, a tenth are members
+    "link_teams": "select c_custkey as id, 'T' || cast(c_custkey % 40 as string) as name, case when c_custkey % 10 = 0 then 'member' else 'tracked' end as membership_type, case when c_custkey % 3 = 0 or c_custkey % 7 = 1 then null else 's' || cast(c_custkey as string) end as public_id, case when c_custkey % 5 = 0 then null else 'u' || cast(c_custkey as string) end as gc_uuid, case when c_custkey % 20 = 0 then null else cast(2024 + c_custkey % 2 as bigint) end as season_year, cast(c_nationkey % 2 as bigint) as is_active from {customer}",
+    "link_opponents": "select cast(10 + 10 * (c_custkey % 9) as bigint) as our_team_id, c_custkey as opponent_team_id, case when c_custkey % 4 = 0 then null else cast(2020 + c_custkey % 4 as bigint) end as first_seen_year from {customer} where c_custkey % 10 > 0",
+    "link_rows": "select o_orderkey as id, cast(10 + 10 * (o_orderkey % 12) as bigint) as our_team_id, o_orderkey as root_team_id, 'T' || cast(o_custkey % 43 as string) as opponent_name, cast(0 as bigint) as is_hidden, case when o_orderkey % 3 = 0 then 's' || cast(o_custkey as string) end as public_id, case o_orderkey % 3 when 0 then 'manual' when 1 then 'auto' end as resolution_method, case when o_orderkey % 3 < 2 then o_custkey end as resolved_team_id, case when o_orderkey % 3 < 2 then 'before' end as resolved_at from {orders}",
+    "link_requests": "select s_suppkey as seq, s_suppkey * 3 + 3 as link_id, 's' || cast(s_suppkey * 7 % 200 + 2 as string) as public_id, cast(10 + 10 * (s_suppkey % 9) as bigint) as our_team_id, 'T' || cast(case when s_suppkey % 4 = 0 then 90 + s_suppkey else s_suppkey * 11 % 40 end as string) as opponent_name from {supplier}",
+    "link_games": "select o_orderkey as game_id, o_custkey as home_team_id, cast(1 + o_custkey * 7 % 140 as bigint) as away_team_id, case when o_orderkey % 4 > 0 then cast(o_orderkey % 50 as string) end as game_stream_id from {orders}",
+    "link_perspectives": "select distinct o_orderkey % 500 as game_id, o_custkey as perspective_team_id from {orders}",
+    "link_feed": "select o_orderkey as seq, cast(10 + 10 * (o_orderkey % 12) as bigint) as our_team_id, o_orderkey + case when o_orderkey % 6 = 5 then 9000000 else 0 end as root_team_id, 'T' || cast(o_custkey % 43 as string) as name, case when o_orderkey % 4 < 2 then null else 'u' || cast(o_custkey % 170 as string) end as progenitor_team_id, o_orderkey % 11 = 0 as is_hidden from {orders} where o_orderpriority <> '5-LOW'",
+    "link_details": "select 'u' || cast(c_custkey as string) as progenitor_team_id, case when c_custkey % 4 = 0 then null else 's' || cast(c_custkey as string) end as public_id, case when c_custkey % 9 = 0 then null else 'T' || cast(c_custkey % 40 as string) end as name, cast(2024 + c_custkey % 3 as bigint) as season_year from {customer} where c_custkey % 8 > 0",
+    "link_hits": "select 'T' || cast(s_suppkey % 43 as string) as query, 'v' || cast(s_suppkey as string) as gc_uuid, 's' || cast(s_suppkey + 30 as string) as public_id, case when s_suppkey % 5 = 0 then 'Team' else 't' || cast(s_suppkey % 43 as string) end as name, case when s_suppkey % 7 = 0 then null else cast(2024 + s_suppkey % 2 as bigint) end as season_year from {supplier}",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
