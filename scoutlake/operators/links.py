@@ -101,7 +101,8 @@ def removable_teams(teams: DataFrame, reports: DataFrame, links: DataFrame, acce
     """id of tracked teams that nothing needs: no report, no link to or from them, no user, no game with a member's team."""
     members = teams.filter("membership_type = 'member'").select(F.col("id").alias("opponent_id"))
     used = reports.select(F.col("team_id").alias("id")).union(links.select("resolved_team_id")).union(links.select("our_team_id")).union(access.select("team_id"))
-    used = used.union(by_team(games).join(members, "opponent_id", "left_semi").select("team_id"))
+    sides = games.select(F.col("home_team_id").alias("id"), F.col("away_team_id").alias("opponent_id")).union(games.select("away_team_id", "home_team_id"))
+    used = used.union(sides.join(members, "opponent_id", "left_semi").select("id"))
     return teams.filter("membership_type = 'tracked'").select("id").join(used.filter("id is not null").distinct(), "id", "left_anti")
 
 
@@ -134,3 +135,43 @@ def events_by_player(balls: DataFrame, order: list[str], fields: list[str]) -> D
     """player_id, events: a player's batted balls as an array of structs, in order."""
     listed = F.sort_array(F.collect_list(F.struct(*order, *(c for c in fields if c not in order))))
     return balls.groupBy("player_id").agg(F.transform(listed, lambda e: F.struct(*(e[c].alias(c) for c in fields))).alias("events"))
+
+
+LINK_FILTERS = ("all", "full", "unresolved", "hidden")
+LINK_ORDERS = {"opponent": "opponent_name", "resolved": "resolved_at", "method": "resolution_method"}
+
+
+def listed_links(links: DataFrame, season_lines: DataFrame, status: str | None = None, our_team: int | None = None, order: str | None = None, descending: bool = False) -> DataFrame:
+    """Links by composed conditions, in an order from a whitelist: `nth`. Hidden links only where they are asked for; `full`
+    wants season rows of the resolved team (season_lines: team_id). What is not allowed is as if it were not given."""
+    status = status if status in LINK_FILTERS else "all"
+    shown = links.filter(F.col("is_hidden") == (1 if status == "hidden" else 0))
+    if our_team is not None:
+        shown = shown.filter(F.col("our_team_id") == our_team)
+    if status == "unresolved":
+        shown = shown.filter("resolved_team_id is null")
+    if status == "full":
+        shown = shown.join(season_lines.select(F.col("team_id").alias("resolved_team_id")).distinct(), "resolved_team_id", "left_semi").select(*links.columns)
+    by = F.col(LINK_ORDERS.get(order, LINK_ORDERS["opponent"]))
+    rank = Window.partitionBy("our_team_id").orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), "id")
+    return shown.withColumn("nth", F.row_number().over(rank).cast("bigint"))
+
+
+def chosen_season(wanted: DataFrame, permitted: DataFrame, seasons: DataFrame, current_year: Column) -> DataFrame:
+    """For each user the team, year and season that a page shows.
+
+    wanted: user_id, team_id, year (either may be null); permitted: user_id, place (the order of the user's teams), team_id,
+    year (null: no data); seasons: team_id, season_id (`2025-spring-hs`). The team that is asked for, if permitted, with its year;
+    else the first team of the year asked for, of the current year, of the latest year with a team; else the first team.
+    One pass: each permitted team is ranked by the first of these that it meets.
+    """
+    rows = wanted.select("user_id", F.col("team_id").alias("asked"), F.col("year").alias("asked_year")).join(permitted, "user_id")
+    latest = F.max("year").over(Window.partitionBy("user_id"))
+    rank = F.when(F.col("team_id") == F.col("asked"), 1).when(F.col("year") == F.col("asked_year"), 2).when(F.col("year") == current_year, 3).when(F.col("year") == latest, 4).otherwise(5)
+    best = rows.withColumn("rank", rank).groupBy("user_id").agg(F.min(F.struct("rank", "place", "team_id", "year")).alias("b"))
+    shown = F.when(F.col("b.rank").isin(1, 2, 3, 4), F.coalesce("b.year", current_year)).otherwise(current_year)
+    rows = best.select("user_id", F.col("b.team_id").alias("team_id"), shown.cast("bigint").alias("year"), F.col("b.rank").cast("bigint").alias("path"))
+    own = rows.select("user_id", "team_id", "year").join(seasons, "team_id")
+    fits = F.col("season_id").startswith(F.col("year").cast("string"))
+    named = own.groupBy("user_id").agg(F.max(F.when(fits, F.col("season_id"))).alias("of_year"), F.max("season_id").alias("newest"))
+    return rows.join(named, "user_id", "left").select("user_id", "team_id", "year", "path", F.coalesce("of_year", "newest", F.concat(F.col("year").cast("string"), F.lit("-spring-hs"))).alias("season_id"))

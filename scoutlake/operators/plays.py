@@ -249,3 +249,17 @@ def compared(derived: DataFrame, official: DataFrame, keys: list[str], value: st
     both = derived.select(*keys, F.col(value).alias("derived")).join(official.select(*keys, F.col(value).alias("official")).filter("official is not null"), keys)
     off = rates.tolerance_percent(F.col("derived"), F.col("official"))
     return both.withColumn("off_pct", off).withColumn("within", F.col("off_pct") <= tolerance)
+
+
+def outliers(plays: DataFrame, games: DataFrame, comparisons: DataFrame, player: str, flag: str, samples: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Of the players whose comparison is not within tolerance (comparisons: player_id, within): their flagged plays by game, and
+    their first plays. player is the column of plays that names them."""
+    off = comparisons.filter(~F.col("within")).select("player_id").distinct()
+    rows = plays.withColumn("player_id", F.col(player)).join(off, "player_id", "left_semi")
+    by_game = rows.groupBy("player_id", "game_id").agg(F.count(F.lit(1)).alias("plays"), F.sum(flag).cast("bigint").alias("flagged"))
+    dated = by_game.join(games.select("game_id", "game_date"), "game_id", "left")
+    share = rates.percent(F.col("flagged"), F.col("plays"))
+    first = Window.partitionBy("player_id").orderBy("game_id", "play_order")
+    sample = rows.withColumn("nth", F.row_number().over(first).cast("bigint")).filter(F.col("nth") <= samples)
+    by_game = dated.select("player_id", "game_id", F.coalesce(F.col("game_date").cast("string"), F.lit("unknown")).alias("game_date"), "plays", "flagged", share.alias("flagged_pct"))
+    return by_game, sample.select("player_id", "nth", "game_id", "play_order", "half", "outcome", "pitch_count", F.col(flag).alias("flag_value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values of the field's drawing: two anchor points map raw places to the chart
@@ -41,3 +41,36 @@ def zone_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     rows = events.withColumn("zone", zone(F.col("x"), F.col("y")))
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bip"), count(is_hit(F.col("play_result"))).alias("hits"), *(count(F.col("zone") == z).alias(f"n_{z}") for z in ("left", "center", "right")))
+
+
+def load(events: DataFrame, teams: DataFrame, games: DataFrame, rosters: DataFrame, old: DataFrame, guess: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows that a load of batted balls adds to old, and per game and perspective how many events it loaded and skipped.
+
+    events: seq, game_id, gc_uuid (whose data it is), season_id, section (offense, defense), player_id, event_id, created_at_ms,
+    play_result, play_type, fielded (there is a defender), x, y, fielder_position, error (of the first defender). A ball is its
+    player's team's: on the roster of home, else of away, in that season. Nobody's ball goes to the team across from whose
+    data it is (away if it is neither side), or with guess off is skipped. An event is skipped without an id, with a defender
+    but no place, or if its id comes again from a perspective. A game that a perspective has loaded already is one skip; of
+    games or teams that are not known nothing is said.
+    """
+    pair = ["game_id", "perspective_team_id"]
+    rows = events.join(teams.select("gc_uuid", F.col("id").alias("perspective_team_id")), "gc_uuid").join(games.select("game_id", "home_team_id", "away_team_id"), "game_id")
+    seen = old.select(*pair).distinct().withColumn("_seen", F.lit(True))
+    rows = rows.join(seen, pair, "left")
+    again = rows.filter("_seen").select(*pair).distinct().select(*pair, F.lit(0).cast("bigint").alias("loaded"), F.lit(1).cast("bigint").alias("skipped"))
+    rows = rows.filter("_seen is null").drop("_seen")
+    on = rosters.select("player_id", "season_id", F.col("team_id").alias("_t")).distinct()
+    for side in ("home", "away"):
+        rows = rows.join(on.withColumnRenamed("_t", f"{side}_team_id").withColumn(f"_on_{side}", F.lit(True)), ["player_id", "season_id", f"{side}_team_id"], "left")
+    across = F.when(F.col("perspective_team_id") == F.col("away_team_id"), F.col("home_team_id")).otherwise(F.col("away_team_id"))
+    rows = rows.withColumn("team_id", F.when(F.col("_on_home"), F.col("home_team_id")).when(F.col("_on_away"), F.col("away_team_id")).otherwise(across if guess else F.lit(None)))
+    whole = F.col("team_id").isNotNull() & (F.coalesce("event_id", F.lit("")) != "") & (~F.col("fielded") | (F.col("x").isNotNull() & F.col("y").isNotNull()))
+    first = Window.partitionBy("event_id", "perspective_team_id").orderBy(F.desc("whole"), F.desc("section"), "seq")  # offense first
+    rows = rows.withColumn("whole", whole).withColumn("nth", F.row_number().over(first))
+    known = old.filter("event_id is not null").select("event_id", "perspective_team_id").distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(known, ["event_id", "perspective_team_id"], "left").withColumn("new", F.col("whole") & (F.col("nth") == 1) & F.col("_known").isNull())
+    counts = rows.groupBy(*pair).agg(F.sum(F.col("new").cast("bigint")).alias("loaded"), F.sum((~F.col("new")).cast("bigint")).alias("skipped"))
+    placed = lambda c: F.when(F.col("fielded"), F.col(c)).alias(c)
+    chart = F.when(F.col("section") == "offense", "offensive").otherwise("defensive").alias("chart_type")
+    made = rows.filter("new").select("game_id", "player_id", "team_id", chart, "play_type", "play_result", *(placed(c) for c in ("x", "y", "fielder_position", "error")), "event_id", "created_at_ms", "season_id", "perspective_team_id")
+    return made, counts.unionByName(again)

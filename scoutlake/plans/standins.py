@@ -157,6 +157,24 @@ VIEWS |= {
     "link_hits": "select 'T' || cast(s_suppkey % 43 as string) as query, 'v' || cast(s_suppkey as string) as gc_uuid, 's' || cast(s_suppkey + 30 as string) as public_id, case when s_suppkey % 5 = 0 then 'Team' else 't' || cast(s_suppkey % 43 as string) end as name, case when s_suppkey % 7 = 0 then null else cast(2024 + s_suppkey % 2 as bigint) end as season_year from {supplier}",
 }
 
+VIEWS |= {
+    "gone_reports": "select s_suppkey as slug, cast(s_nationkey as bigint) as team_id, s_acctbal < 6000 as dropped from {supplier}",
+    "gone_links": "select cast(n_nationkey as bigint) as id, cast(case when n_nationkey = 24 then 23 else n_regionkey end as bigint) as our_team_id, cast(n_regionkey + 5 as bigint) as resolved_team_id, 'auto' as resolution_method, 'x' as resolved_at from {nation}",
+    "gone_access": "select cast(r_regionkey as bigint) as user_id, cast(r_regionkey + 10 as bigint) as team_id from {region}",
+    "gone_teams": "select cast(n_nationkey as bigint) as id, 'tracked' as membership_type from {nation}",
+    "ball_teams": "select cast(n_nationkey as bigint) as id, 'u' || cast(n_nationkey as string) as gc_uuid from {nation} where n_nationkey <> 5",
+    "ball_rosters": "select cast(c_custkey % 60 as bigint) as player_id, cast(c_nationkey as bigint) as team_id, cast(2024 + c_custkey % 2 as bigint) as season_id from {customer} where c_custkey % 4 = 0",
+    "ball_events": """
+        select event_id as seq, user_id as game_id, 'u' || cast(case event_id % 7 when 0 then (user_id + 7) % 25 when 1 then (user_id + 3) % 25 else user_id % 25 end as string) as gc_uuid, cast(2024 + user_id % 2 as bigint) as season_id, case when event_id % 3 = 0 then 'defense' else 'offense' end as section,
+            event_id % 60 as player_id, case when event_id % 23 = 0 then null when event_id % 29 = 0 then '' else 'e' || cast(event_id % 900 as string) end as event_id, event_id * 1000 as created_at_ms, event_type as play_result, case when event_id % 2 = 0 then 'line_drive' end as play_type,
+            event_id % 8 > 0 as fielded, case when event_id % 19 = 0 then null else value end as x, case when event_id % 31 = 0 then null else value + 1 end as y, case when event_id % 4 = 0 then 'SS' end as fielder_position, cast(case when event_id % 6 = 0 then 1 when event_id % 6 = 1 then 0 end as bigint) as error
+        from {events}""",
+    "ball_old": "select c_custkey as game_id, cast(c_custkey % 25 as bigint) as perspective_team_id, 'e' || cast(c_custkey * 3 % 900 as string) as event_id from {customer} where c_custkey % 5 = 0",
+    "season_wanted": "select c_custkey as user_id, case when c_custkey % 3 = 0 then cast(c_custkey % 25 as bigint) end as team_id, case when c_custkey % 4 > 1 then cast(2020 + c_custkey % 7 as bigint) end as year from {customer}",
+    "season_permitted": "select c_custkey as user_id, cast(k as bigint) as place, cast((c_custkey * 3 + k * 5) % 25 as bigint) as team_id, case when (c_custkey + k) % 4 = 0 then null else cast(2020 + (c_custkey * k) % 6 as bigint) end as year from {customer}, (select 0 as k union all select 1 as k union all select 2 as k) as ks where c_custkey % 3 >= k",
+    "team_seasons": "select cast(n_nationkey as bigint) as team_id, cast(y as string) || case when n_regionkey % 2 = 0 then '-spring-hs' else '-summer-legion' end as season_id from {nation}, (select 2020 as y union all select 2022 as y union all select 2023 as y union all select 2024 as y) as ys where n_nationkey % 6 > 0",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
