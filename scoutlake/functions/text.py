@@ -87,13 +87,9 @@ def parsed_list(text: Column) -> Column:
 LEVEL_WORDS = ("varsity", "junior varsity", "jv", "freshman", "frosh", "reserve", "legion")
 
 
-def without_level(name: Column, rounds: int = 3) -> Column:
-    """A team's name without level words at its end, or an age such as 12U; as often as one is left, up to `rounds`."""
-    ending = r"(?i)\s+(" + "|".join(LEVEL_WORDS) + r"|\d{1,2}u)\s*$"
-    out = F.trim(name)
-    for _ in range(rounds):
-        out = F.regexp_replace(out, ending, "")
-    return out
+def without_level(name: Column) -> Column:
+    """A team's name without all level words at its end, and ages such as 12U."""
+    return F.regexp_replace(F.trim(name), r"(?i)(\s+(" + "|".join(LEVEL_WORDS) + r"|\d{1,2}u))+\s*$", "")
 
 
 def team_key(given: Column) -> tuple[Column, Column]:

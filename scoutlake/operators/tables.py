@@ -49,6 +49,11 @@ def upsert_filling(old: DataFrame, new: DataFrame, keys: list[str], fill: list[s
     return upsert(old, new, keys, {c: F.coalesce(f"new_{c}", f"old_{c}") for c in fill}, seq)
 
 
+def upsert_if_null(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], seq: str = "seq") -> DataFrame:
+    """As upsert, but a value in `fill` that is known stays; only nulls are filled."""
+    return upsert(old, new, keys, {c: F.coalesce(f"old_{c}", f"new_{c}") for c in fill}, seq)
+
+
 def upsert_guarded(old: DataFrame, new: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """As upsert, but a completed game's status stays completed."""
     return upsert(old, new, keys, {"status": F.when(F.col("old_status") == "completed", F.col("old_status")).otherwise(F.col("new_status"))}, seq)

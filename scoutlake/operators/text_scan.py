@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the patterns of a finding, and domains that nobody owns
@@ -21,6 +21,22 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: What a line with a finding has, for a cheap look before its pattern is tried.
 HINTS = {"email": "@", "us_phone": r"\d{3}.?.?\d{3}.?\d{4}", "bearer_token": "[Bb]earer", "api_key_assignment": "key|token"}
 
+# fixed values: what is looked at, and where nothing is
+EXTENSIONS = (".py", ".json", ".yaml", ".yml", ".md", ".txt", ".csv", ".toml", ".cfg", ".ini", ".html", ".xml", ".env", ".sh", ".bash")
+NOT_IN = (".git/", ".claude/", "node_modules/", "__pycache__/", "epics/", ".project/", "requirements.txt", "requirements-dev.txt")
+
+
+def scannable(path: Column) -> Column:
+    """Whether a file is looked at: not under a path that is left out, and with an extension of those listed (any case). A name
+    that is all extension, as .env, counts as one; a null path is not looked at."""
+    name = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    ending = F.lower(F.when(suffix != "", suffix).when(name.startswith(".") & ~name.endswith("."), name))
+    out = F.coalesce(ending.isin(*EXTENSIONS), F.lit(False))
+    for prefix in NOT_IN:
+        out = out & ~path.startswith(prefix)
+    return F.coalesce(out, F.lit(False))
+
 
 def findings(texts: DataFrame, id_column: str, kinds: tuple[str, ...] = tuple(PATTERNS), reserved: tuple[str, ...] = RESERVED) -> DataFrame:
     """id_column, line (from 1), kind, match.
