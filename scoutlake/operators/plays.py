@@ -71,20 +71,22 @@ def parsed(games: DataFrame) -> DataFrame:
 
     Who pitches depends on earlier decisions within a half-inning label, so one fold runs over a game's plays; batches of games
     go through it side by side, and a game is never split. All else is Column expressions. Null plays, details and templates
-    are empty ones; perspective_team_id stays if games has it. `events` holds the appearance's events in order; strikes are
+    are empty ones; perspective_team_id and season_id stay if games has them. `events` holds the appearance's events in order; strikes are
     those of its pitches.
     """
     told = "inning bigint, half string, batting_team_id bigint, batter_id string, pitcher_id string, outcome string, home_score bigint, away_score bigint, did_score_change bigint, outs_after bigint, did_outs_change bigint"
-    seen = [c for c in ("perspective_team_id",) if c in games.columns]
+    seen = [c for c in ("perspective_team_id", "season_id") if c in games.columns]
     kept = ["game_id", *seen]
     schema = ", ".join(f"{c} {games.schema[c].dataType.simpleString()}" for c in kept) + f", play_order bigint, {told}, templates array<string>, details array<string>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for game in frame.itertuples():
-                rows = game_rows([getattr(game, c) for c in kept], game.home_team_id, game.away_team_id, game.plays)
-                yield pd.DataFrame(rows, columns=names)
+            heads = list(zip(*(frame[c] for c in kept), strict=True))
+            rows: list[tuple] = []
+            for head, home, away, listed in zip(heads, frame["home_team_id"], frame["away_team_id"], frame["plays"], strict=True):
+                rows += game_rows(list(head), home, away, listed)
+            yield pd.DataFrame(rows, columns=names)
 
     rows = games.select(*kept, "home_team_id", "away_team_id", "plays").mapInPandas(run, schema)
     pitches = F.filter(F.transform("templates", pitch_result), lambda x: x.isNotNull())
