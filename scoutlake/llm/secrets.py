@@ -142,7 +142,7 @@ def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
     clean = F.aggregate(found["spans"], start, step, lambda d: F.concat(d["text"], F.substring(text, d["end"] + 1, F.length(text))))
     clean = F.when(found["spans"].isNull(), text).otherwise(clean)
-    columns = [clean.alias(c) if c == "text" else docs[c] for c in docs.columns]
+    columns = [clean.alias(c) if c == "text" else docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
     out = marked.select(*columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

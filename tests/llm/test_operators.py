@@ -479,7 +479,7 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     items, table = items_of(spark)
-    docs.withColumn("extra", F.lit("kept")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.withColumns({"extra": F.lit("kept"), "a.b": F.lit(1), "spans": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
     table.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert len(corpus_pipeline.STAGES) == 5
     kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
