@@ -195,3 +195,18 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def sql(window: int = WINDOW) -> str:
+    """The same in plain SQL for DuckDB: every window of every item against every run of words of that length."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = lambda c: f"coalesce(regexp_extract_all(translate({c}, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    return f"""with items as (select coalesce(item_id::varchar, 'null') as item, {words("text")} as ws from benchmark),
+        sized as (select item, ws, least(len(ws), {window}) as k from items where len(ws) > 0),
+        windows as materialized (select distinct item, k, array_to_string(ws[i:i + k - 1], ' ') as w from sized, range(1, 1 + len(ws)) as starts(i) where i + k - 1 <= len(ws)),
+        docs as (select row_number() over () as r, doc_id, {words("text")} as ws from documents),
+        spans as (select r, k, i, array_to_string(ws[i:i + k - 1], ' ') as w from docs, (select distinct k from windows) as ks, range(1, 1 + len(ws)) as starts(i) where i + k - 1 <= len(ws)),
+        met as materialized (select distinct r, i, k, item from spans join windows using (k, w)),
+        hit as (select r, count(distinct place) as n_hit from (select r, unnest(range(i, i + k)) as place from met) as p group by r),
+        named as (select r, count(distinct item) as n_items, sha256(string_agg(distinct item, ',' order by item)) as digest from met group by r)
+        select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(digest, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from docs left join hit using (r) left join named using (r)"""

@@ -450,3 +450,16 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataF
 def op8_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+def sql(shingle: int = 5, percent: int = 80) -> str:
+    """The same in plain SQL for DuckDB: all pairs of documents with a shingle in common, and what links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""with recursive words as (select doc_id, coalesce(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+'), []) as ws from documents),
+        shingles as materialized (select distinct doc_id, array_to_string(ws[i:i + {shingle - 1}], ' ') as s from words, range(1, greatest(len(ws) - {shingle - 1}, 1) + 1) as starts(i) where len(ws) > 0),
+        sizes as materialized (select doc_id, count(*) as n from shingles group by all),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from shingles as a join shingles as b on a.s = b.s and a.doc_id < b.doc_id group by all),
+        links as materialized (select a, b from pairs join sizes as x on x.doc_id = a join sizes as y on y.doc_id = b where 100 * common >= {percent} * (x.n + y.n - common)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach as (select a as node, b as other from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a)
+        select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id from words left join sizes using (doc_id) left join (select node, min(other) as low from reach group by node) as r on r.node = doc_id"""

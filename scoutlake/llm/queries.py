@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutlake.llm import centroids, repeats, spelling
+from scoutlake.llm import centroids, decontaminate, jaccard, repeats, spelling
 from scoutlake.llm.bpe import op3_backtracking
 from scoutlake.llm.centroids import op13_dual_tree
 from scoutlake.llm.decontaminate import op2_winnowing
@@ -38,6 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_winnowing": decontaminate.sql(),
+    "op8_combination_prefixes": jaccard.sql(),
     "op11_interval_tree": repeats.sql(),
     "op12_rolling_deletions": spelling.sql(),
     "op13_dual_tree": centroids.sql(),
