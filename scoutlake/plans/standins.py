@@ -175,6 +175,12 @@ VIEWS |= {
     "team_seasons": "select cast(n_nationkey as bigint) as team_id, cast(y as string) || case when n_regionkey % 2 = 0 then '-spring-hs' else '-summer-legion' end as season_id from {nation}, (select 2020 as y union all select 2022 as y union all select 2023 as y union all select 2024 as y) as ys where n_nationkey % 6 > 0",
 }
 
+VIEWS |= {
+    "page_players": "select s_suppkey as player_id, case s_suppkey % 4 when 0 then 'Unknown' when 1 then 'Jo' else 'Joan' end as first_name, case when s_suppkey % 8 = 0 then 'Unknown' when s_suppkey % 5 = 0 then null else substring(s_name, 12, 7) end as last_name from {supplier} where s_suppkey % 11 > 0",
+    "page_games": "select l_orderkey as game_id, cast(extract(year from min(o_orderdate)) as bigint) as season_id, cast(min(o_orderdate) as date) as game_date, case when l_orderkey % 5 = 0 then null else cast(10 + l_orderkey % 9 as string) end as start_time, cast(min(s_nationkey) as bigint) as home_team_id, cast(max(s_nationkey) as bigint) as away_team_id, case when l_orderkey % 17 = 0 then null else l_orderkey % 11 end as home_score, l_orderkey % 7 as away_score from {lineitem} join {orders} on l_orderkey = o_orderkey join {supplier} on l_suppkey = s_suppkey group by l_orderkey",
+    "page_teams": "select cast(n_nationkey as bigint) as id, n_name as name from {nation} where n_nationkey % 9 > 0",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
