@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutlake.functions import text
+
 # fixed values of the field's drawing: two anchor points map raw places to the chart
 X_SCALE, Y_SCALE = (160 - 211.25) / (160 - 234), (295 - 246) / (296 - 220)
 HOME_X, HOME_Y = 160, 295
 THIRD = 0.206
 HITS = ("single", "double", "triple", "home_run", "dropped_third_strike")
 LEFT_OF, RIGHT_OF = 109.0, 211.0
+CONTACT = {"ground_ball": "gb", "hard_ground_ball": "gb", "line_drive": "ld", "hard_line_drive": "ld", "fly_ball": "fb", "popup": "pu", "pop_fly": "pu", "pop_up": "pu", "bunt": "bu"}
+LEAST_PLAYER, LEAST_TEAM = 3, 20
 
 
 def chart_x(x: Column) -> Column:
@@ -43,6 +47,23 @@ def zone_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bip"), count(is_hit(F.col("play_result"))).alias("hits"), *(count(F.col("zone") == z).alias(f"n_{z}") for z in ("left", "center", "right")))
 
 
+def contact(play_type: Column) -> Column:
+    """How a ball was hit: gb, ld, fb, pu or bu; null for other types."""
+    return text.lookup(play_type, CONTACT)
+
+
+def summaries(events: DataFrame, keys: list[str], least: int = LEAST_PLAYER) -> DataFrame:
+    """Per key: balls in play, hits, zones (a home run's by its own rule), contact classes, and whether there are enough for a chart."""
+    out = F.col("play_result") == "home_run"
+    place = F.when(F.coalesce(out, F.lit(False)), home_run_zone(F.col("x"), F.col("y"))).otherwise(zone(F.col("x"), F.col("y")))
+    rows = events.withColumns({"_zone": place, "_contact": contact(F.col("play_type"))})
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    made = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("bip"), count(is_hit(F.col("play_result"))).alias("hits"), *(count(F.col("_zone") == z).alias(f"n_{z}") for z in ("left", "center", "right")), *(count(F.col("_contact") == c).alias(f"n_{c}") for c in dict.fromkeys(CONTACT.values()))
+    )
+    return made.withColumn("charted", F.col("bip") >= least)
+
+
 def load(events: DataFrame, teams: DataFrame, games: DataFrame, rosters: DataFrame, old: DataFrame, guess: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows that a load of batted balls adds to old, and per game and perspective how many events it loaded and skipped.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoutlake.functions import rates, text
 from scoutlake.operators import batting, games, identity, links, pitching, plays, spray, tables, text_scan
-from scoutlake.plans import linked, merging, pages, predicting, reconciliation, upkeep  # noqa: F401  they register their queries
+from scoutlake.plans import intakes, linked, merging, pages, predicting, reconciliation, upkeep  # noqa: F401  they register their queries
 from scoutlake.plans.catalog import QUERIES, REFERENCE_DAY, SQL, query  # noqa: F401
 from scoutlake.plans.catalog import day as _day
 

@@ -181,6 +181,19 @@ VIEWS |= {
     "page_teams": "select cast(n_nationkey as bigint) as id, n_name as name from {nation} where n_nationkey % 9 > 0",
 }
 
+VIEWS |= {
+    "typed_balls": """
+        select event_id, user_id as player_id, user_id % 25 as team_id, cast(2020 + (user_id * 7 + event_id) % 4 as bigint) as season_id, cast(case when event_id % 5 = 0 then 99 else user_id % 25 end as bigint) as perspective_team_id, case event_type when 'click' then 'single' when 'purchase' then 'home_run' when 'view' then 'dropped_third_strike' else 'out' end as play_result,
+            case event_id % 10 when 0 then 'ground_ball' when 1 then 'hard_ground_ball' when 2 then 'line_drive' when 3 then 'hard_line_drive' when 4 then 'fly_ball' when 5 then 'popup' when 6 then 'pop_fly' when 7 then 'bunt' when 8 then 'other' end as play_type,
+            case when event_id % 11 = 0 then null else cast(100 + event_id % 131 as double) end as x, cast(60 + event_id % 173 as double) as y from {events}""",
+    "summaries": "select o_orderkey as game_id, case o_orderkey % 3 when 0 then 'home' when 1 then 'away' end as home_away, o_custkey as own_team_id, o_custkey + 1 as opponent_team_id, o_orderkey % 9 as own_score, case when o_orderkey % 5 = 0 then null else o_custkey % 7 end as opponent_score from {orders}",
+    "box_teams": """
+        select c_custkey as id, case when c_custkey % 4 = 0 then null else upper('00000000-0000-0000-0000-' || lpad(cast(c_custkey as string), 12, '0')) end as own_uuid, '00000000-0000-0000-0000-' || lpad(cast(c_custkey as string), 12, '0') as one,
+            case when c_custkey % 3 = 0 then 'slug' || cast(c_custkey as string) else '00000000-0000-0000-0000-' || lpad(cast(c_custkey + case when c_custkey % 5 = 0 then 0 else 1 end as string), 12, '0') end as two from {customer}""",
+    "new_names": "select o_orderkey as seq, case o_orderkey % 5 when 0 then upper(c_name) when 1 then 'New ' || cast(o_custkey % 50 as string) when 2 then 'NEW ' || cast(o_custkey % 50 as string) when 3 then null else '  ' end as name from {orders} join {customer} on o_custkey = c_custkey",
+    "programs": "select cast(r_regionkey as bigint) as id, case r_regionkey when 0 then 'hs' when 1 then 'legion' when 2 then null else 'usssa' end as program_type from {region}",
+}
+
 
 def sql(text: str) -> str:
     """A query over the stand-ins, for the oracle: `with` the ones that it names."""
