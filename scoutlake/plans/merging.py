@@ -93,12 +93,13 @@ def merge_stat_rows(t):
 
 
 @query("merge_recent", """
-    with recent as (select distinct team_id, season_id from merge_runs where last_checked >= 3), n as (select player_id, count(*) as n from (select player_id from merge_batting union all select player_id from merge_pitching union all select player_id from merge_season_batting union all select player_id from merge_season_pitching) as r group by all),
+    with recursive recent as (select distinct team_id, season_id from merge_runs where last_checked >= 3), n as (select player_id, count(*) as n from (select player_id from merge_batting union all select player_id from merge_pitching union all select player_id from merge_season_batting union all select player_id from merge_season_pitching) as r group by all),
     r as (select team_id, season_id, player_id, lower(first_name) as f, lower(substring(last_name, 1, 8)) as l, coalesce(n, 0) as n from merge_rosters semi join recent using (team_id, season_id) join merge_players using (player_id) left join n using (player_id)),
     pairs as (select distinct case when (-length(a.f), -a.n, a.player_id) < (-length(b.f), -b.n, b.player_id) then a.player_id else b.player_id end as canonical_id, case when (-length(a.f), -a.n, a.player_id) < (-length(b.f), -b.n, b.player_id) then b.player_id else a.player_id end as duplicate_id
         from r as a join r as b on a.team_id = b.team_id and a.season_id = b.season_id and a.l = b.l and a.player_id < b.player_id and (starts_with(a.f, b.f) or starts_with(b.f, a.f)) and a.f <> '' and b.f <> ''),
-    one as (select duplicate_id, min(canonical_id) as canonical_id from pairs group by all), two as (select o.duplicate_id, coalesce(p.canonical_id, o.canonical_id) as canonical_id from one as o left join one as p on p.duplicate_id = o.canonical_id),
-    names as (select o.duplicate_id, coalesce(p.canonical_id, o.canonical_id) as canonical_id from two as o left join one as p on p.duplicate_id = o.canonical_id)
+    one as (select duplicate_id, min(canonical_id) as canonical_id from pairs group by all),
+    walk as (select duplicate_id, canonical_id from one union all select w.duplicate_id, one.canonical_id from walk as w join one on one.duplicate_id = w.canonical_id),
+    names as (select * from walk where canonical_id not in (select duplicate_id from one))
     select duplicate_id, canonical_id from names""")
 def merge_recent(t):
     players = t("merge_players").withColumn("last_name", F.substring("last_name", 1, 8))

@@ -201,6 +201,8 @@ def sql(text: str) -> str:
     names = {t: t for t in TABLES}
     own = ", ".join(f"{n} as ({VIEWS[n].format(**names)})" for n in used)
     rest = text.strip()
+    if used and rest.startswith("with recursive "):
+        return f"with recursive {own}, {rest[15:]}"
     return f"with {own}, {rest[5:]}" if used and rest.startswith("with ") else f"with {own} {rest}" if used else text
 
 
