@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scoutlake.functions import rates, text
 
@@ -29,6 +32,8 @@ HITS = ("Single", "Double", "Triple", "Home Run")
 STRIKEOUTS = ("Strikeout", "Dropped 3rd Strike")
 WALKS = ("Walk", "Intentional Walk")
 QUALITY_PITCHES = 6
+#: Rows of plate appearances that a worker gathers before it hands them on.
+ROWS_AT_ONCE = 5000
 
 
 def pitch_result(template: Column) -> Column:
@@ -69,8 +74,9 @@ def quality(outcome: Column, pitches: Column, details: Column) -> Column:
 def parsed(games: DataFrame) -> DataFrame:
     """One row for each plate appearance of games (game_id, home_team_id, away_team_id, plays: the JSON array of the format).
 
-    Who pitches depends on earlier decisions within a half-inning label, so one fold runs over a game's plays; batches of games
-    go through it side by side, and a game is never split. All else is Column expressions. Null plays, details and templates
+    Who pitches depends on earlier decisions within a half-inning label, so one fold runs over a game's plays; one game after
+    another goes through it, and a game is never split. A worker holds the plays of one game as Python values, and at most
+    ROWS_AT_ONCE rows and a game's besides. All else is Column expressions. Null plays, details and templates
     are empty ones; perspective_team_id and season_id stay if games has them. `events` holds the appearance's events in order; strikes are
     those of its pitches.
     """
@@ -80,15 +86,26 @@ def parsed(games: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} {games.schema[c].dataType.simpleString()}" for c in kept) + f", play_order bigint, {told}, templates array<string>, details array<string>"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            heads = list(zip(*(frame[c] for c in kept), strict=True))
-            rows: list[tuple] = []
-            for head, home, away, listed in zip(heads, frame["home_team_id"], frame["away_team_id"], frame["plays"], strict=True):
-                rows += game_rows(list(head), home, away, listed)
-            yield pd.DataFrame(rows, columns=names)
+    kinds = to_arrow_schema(StructType.fromDDL(schema)).types
 
-    rows = games.select(*kept, "home_team_id", "away_team_id", "plays").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                *head, home, away, listed = (c[i].as_py() for c in batch.columns)
+                rows += game_rows(head, home, away, listed)
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield made()
+                    rows.clear()
+        if rows:
+            yield made()
+
+    rows = games.select(*kept, "home_team_id", "away_team_id", "plays").mapInArrow(run, schema)
     pitches = F.filter(F.transform("templates", pitch_result), lambda x: x.isNotNull())
     rows = rows.withColumn("pitches", pitches)
     made = {"pitch_count": F.size("pitches").cast("bigint"), "is_first_pitch_strike": first_pitch_strike(F.col("pitches")), "is_qab": quality(F.col("outcome"), F.col("pitches"), F.col("details"))}

@@ -101,3 +101,15 @@ def test_balls_and_season(spark, put):
     assert rows(feeds.batted_balls(spark, path), "event_id", "x", "fielder_position") == [("1", 1.0, "CF"), ("2", None, None)]
     path = put("st.json", {"stats_data": {"players": {A: {"stats": {"offense": {"AB": 3}, "defense": {"GP:P": 1}}}, B: {"stats": {"offense": {"AB": 1}}}}}})
     assert rows(feeds.season_stats(spark, path), "player_id", "is_pitcher") == [(A, True), (B, False)]
+
+
+def test_parsed_games_are_handed_on_a_few_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(plays, "ROWS_AT_ONCE", 7)
+    part = lambda s: F.struct(F.lit(s).alias("template"))
+    final = F.array(part("${00000000-0000-0000-0000-000000000001} grounds out"))
+    one = lambda n: F.struct(F.lit(n).alias("order"), F.lit(1).alias("inning"), F.lit("top").alias("half"), part("Ground Out").alias("name_template"), F.array(part("Ball 1"), part("In play")).alias("at_plate_details"), final.alias("final_details"))
+    games = spark.range(20).coalesce(1).select(F.col("id").cast("string").alias("game_id"), F.lit(1).alias("home_team_id"), F.lit(2).alias("away_team_id"), F.array(*map(one, range(5))).alias("plays"))
+    found = plays.parsed(games)
+    assert sorted((int(r["game_id"]), r["play_order"]) for r in found.collect()) == [(g, n) for g in range(20) for n in range(5)]
