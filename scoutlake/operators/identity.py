@@ -11,17 +11,23 @@ def duplicate_players(rosters: DataFrame) -> DataFrame:
 
     rosters: team_id, season_id, player_id, first_name, last_name, stat_rows. The longer first name is canonical, then more
     rows, then the lesser id. First names are joined by each of their prefixes, which are few, so players of one common last
-    name never meet pairwise.
+    name never meet pairwise. There are as many pairs as the names give, which is the square of a common one's players: each
+    is found once, and none is shuffled, but those of players that a team lists several times.
     """
     rows = rosters.select("team_id", "season_id", "player_id", "stat_rows", F.lower("last_name").alias("last"), F.lower("first_name").alias("first")).filter("first <> ''").distinct()
+    rows = rows.withColumn("listed", F.count(F.lit(1)).over(Window.partitionBy("team_id", "season_id", "player_id")) > 1)
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.substring("first", 1, n)))
-    longer = rows.select("team_id", "season_id", "last", prefixes.alias("first"), *(F.col(c).alias(f"long_{c}") for c in ("player_id", "stat_rows", "first")))
-    both = rows.join(longer, ["team_id", "season_id", "last", "first"]).filter("player_id <> long_player_id")
+    longer = rows.select("team_id", "season_id", "last", prefixes.alias("first"), *(F.col(c).alias(f"long_{c}") for c in ("player_id", "stat_rows", "first", "listed")))
+    # equal first names meet from both sides: the lesser id's is the one that counts
+    once = (F.col("first") != F.col("long_first")) | (F.col("player_id") < F.col("long_player_id"))
+    both = rows.join(longer, ["team_id", "season_id", "last", "first"]).filter((F.col("player_id") != F.col("long_player_id")) & once)
     mine = F.struct(-F.length("first"), -F.col("stat_rows"), F.col("player_id"))
     theirs = F.struct(-F.length("long_first"), -F.col("long_stat_rows"), F.col("long_player_id"))
     one = F.when(mine < theirs, F.col("player_id")).otherwise(F.col("long_player_id"))
     two = F.when(mine < theirs, F.col("long_player_id")).otherwise(F.col("player_id"))
-    return both.select("team_id", "season_id", one.alias("canonical_id"), two.alias("duplicate_id")).distinct()
+    pairs = lambda which: both.filter(which).select("team_id", "season_id", one.alias("canonical_id"), two.alias("duplicate_id"))
+    several = F.col("listed") | F.col("long_listed")
+    return pairs(~several).unionByName(pairs(several).distinct())
 
 
 def duplicate_teams(teams: DataFrame) -> DataFrame:

@@ -74,3 +74,12 @@ def test_preview(spark):
     plays = spark.createDataFrame([("b", "b"), ("a", "b"), (None, "z")], "batter_id string, pitcher_id string")
     got = merges.preview({"plays": plays}, names_of(spark, ("b", "a"), ("q", "a")), merges.PLAYER_RULES)
     assert list(map(tuple, got.collect())) == [("b", "plays", 3)]
+
+
+def test_pairs_of_players_are_found_once_and_not_shuffled(spark):
+    from scoutlake.operators import identity
+
+    rows = [(1, 1, 1, "Jo", "X", 5), (1, 1, 2, "joan", "x", 5), (1, 1, 3, "Jo", "x", 9), (1, 1, 4, "Jo", "x", 1), (1, 1, 4, "JO", "X", 1), (1, 1, 5, "Al", "y", 1), (1, 1, 5, "Alf", "y", 1), (1, 1, 6, "A", "y", 1)]
+    found = identity.duplicate_players(spark.createDataFrame(rows, "team_id int, season_id int, player_id int, first_name string, last_name string, stat_rows bigint"))
+    assert sorted((r[2], r[3]) for r in found.collect()) == [(1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 4), (5, 6)]
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # pairs of players listed once pass no aggregation
