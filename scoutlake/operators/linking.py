@@ -35,6 +35,9 @@ DROPPED = {
     "perspectives": Rule(("perspective_team_id",), ("game_id", "perspective_team_id")),
 }
 
+#: Over so many tasks one team's or one name's links are dealt, where a run of the resolver joins them.
+PLACES = 16
+
 
 def tracked_stubs(wanted: DataFrame, teams: DataFrame, opponents: DataFrame) -> DataFrame:
     """wanted (our_team_id, opponent_name) with stub_id: a tracked team of that name among our opponents, else among all. One
@@ -185,6 +188,14 @@ def repaired(snapshot: dict[str, DataFrame], this_year: int) -> dict[str, DataFr
     return finalized(snapshot, rows, this_year)[0]
 
 
+def _joined_evenly(rows: DataFrame, others: DataFrame, keys: list[str], by: str, places: int = 1) -> DataFrame:
+    """rows left joined with others. Rows without a key meet none, and are dealt over all tasks by the column `by`; a key's are
+    dealt over so many places, each with its copy of others."""
+    keyed, place = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in keys)), F.xxhash64(by)
+    copied = others.withColumn("_place", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(places)))))
+    return rows.withColumn("_place", F.when(keyed, F.pmod(place, F.lit(places))).otherwise(place)).join(copied, [*keys, "_place"], "left").drop("_place")
+
+
 def resolve_opponents(links: DataFrame, feed: DataFrame, details: DataFrame, hits: DataFrame, teams: DataFrame, now: Column, this_year: int) -> tuple[DataFrame, DataFrame]:
     """Links after a run of the resolver, and for every link that it looked at the method and the reason.
 
@@ -196,9 +207,10 @@ def resolve_opponents(links: DataFrame, feed: DataFrame, details: DataFrame, hit
     name and year, else made.
     """
     key = ["our_team_id", "root_team_id"]
+    ours = links.select("our_team_id").union(feed.select("our_team_id")).distinct()
     feed = feed.groupBy(*key).agg(F.max_by(F.struct("name", "progenitor_team_id", "is_hidden"), "seq").alias("_f")).select(*key, "_f.*")
     known = details.select("progenitor_team_id", F.col("public_id").alias("slug"), F.coalesce("name", "progenitor_team_id").alias("team_name"), "season_year", F.lit(True).alias("told"))
-    feed = feed.join(known, "progenitor_team_id", "left")
+    feed = _joined_evenly(feed, known, ["progenitor_team_id"], "root_team_id")
     shown = ~F.coalesce(F.col("is_hidden"), F.lit(False))
     reason = F.when(~shown, "hidden").when(F.col("progenitor_team_id").isNull(), "no progenitor").when(F.col("told").isNull(), "no details").otherwise("progenitor")
     feed = feed.withColumn("why", reason)
@@ -211,10 +223,12 @@ def resolve_opponents(links: DataFrame, feed: DataFrame, details: DataFrame, hit
 
     # the second: links that no method has resolved
     open_ = F.col("resolution_method").isNull() & ~F.coalesce("auto", F.lit(False)) & (F.col("is_hidden") == 0)
-    years = teams.select(F.col("id").alias("our_team_id"), F.coalesce("season_year", F.lit(this_year)).alias("our_year"))
+    years = teams.select(F.col("id").alias("our_team_id"), F.coalesce("season_year", F.lit(this_year)).alias("our_year")).join(ours, "our_team_id", "left_semi")
     found = hits.select(F.lower("query").alias("_q"), F.lower("name").alias("_hit"), F.struct("gc_uuid", F.col("public_id").alias("slug"), F.col("name").alias("team_name"), "season_year").alias("hit"))
     found = found.filter("_q = _hit").groupBy("_q", F.col("hit.season_year").alias("our_year")).agg(F.count(F.lit(1)).alias("n_hits"), F.min("hit").alias("hit"))
-    both = both.join(years, "our_team_id", "left").withColumns({"our_year": F.coalesce("our_year", F.lit(this_year)), "_q": F.when(open_, F.lower("opponent_name"))}).join(found, ["_q", "our_year"], "left")
+    # teams and names are few beside links
+    both = _joined_evenly(both, years, ["our_team_id"], "root_team_id", PLACES).withColumns({"our_year": F.coalesce("our_year", F.lit(this_year)), "_q": F.when(open_, F.lower("opponent_name"))})
+    both = _joined_evenly(both, found, ["_q", "our_year"], "root_team_id", PLACES)
     by_search = open_ & F.coalesce(F.col("n_hits") == 1, F.lit(False))
     both = both.withColumn("method", F.when(F.col("auto"), "auto").when(by_search, "search"))
 
@@ -228,7 +242,7 @@ def resolve_opponents(links: DataFrame, feed: DataFrame, details: DataFrame, hit
     fresh = ids.filter("team_id is null").withColumn("_n", F.row_number().over(Window.orderBy("gc_uuid"))).join(F.broadcast(highest)).select("gc_uuid", (F.col("highest") + F.col("_n")).alias("_fresh"))  # a run's new teams
     slugs = teams.select(F.col("id").alias("team_id"), F.col("public_id").alias("_has"))
     ids = ids.join(fresh, "gc_uuid", "left").join(slugs, "team_id", "left").select("gc_uuid", F.coalesce("team_id", "_fresh").alias("_id"), F.when(F.col("team_id").isNull(), F.col("public_id")).otherwise(F.col("_has")).alias("_has"), F.col("public_id").alias("_says"), "how")
-    both = both.join(ids, "gc_uuid", "left")
+    both = _joined_evenly(both, ids, ["gc_uuid"], "root_team_id")
     slug = F.when(F.col("method") == "search", F.coalesce("_has", "_says")).otherwise(F.col("_has"))
     done = F.col("method").isNotNull()
     put = both.withColumns({c: F.when(done, value).otherwise(F.col(c)) for c, value in (("resolved_team_id", F.col("_id")), ("public_id", slug), ("resolution_method", F.col("method")), ("resolved_at", now))})

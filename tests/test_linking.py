@@ -82,3 +82,32 @@ def test_resolver(spark, snapshot):
     assert dict(rows(log, "root_team_id", "reason")) == {"a": "2 matches", "b": "progenitor, team by slug", "c": "no exact match", "e": "manual link kept", "x": "hidden", "y": "no details", "z": "one match, team by new"}
     got = {r["root_team_id"]: (r["opponent_name"], r["resolution_method"], r["resolved_team_id"], r["public_id"]) for r in out.collect()}
     assert got == {"a": ("Reds!", None, None, None), "b": ("Blues", "auto", 4, "blue"), "c": ("Nobody", None, None, None), "d": ("Reds", "manual", 2, "red"), "e": ("Azure", "manual", 4, "blue"), "z": ("Golds", "search", 8, "gold")}
+
+
+@pytest.fixture()
+def plain_joins(spark):
+    """Joins by sorting alone, their tasks as dealt."""
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    yield
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.unset(name)
+
+
+def test_links_without_a_team_are_dealt_over_all_tasks(spark, snapshot, plain_joins):
+    links = spark.createDataFrame([(i, 1, f"r{i}", "Nobody", 0, None, None, None, None) for i in range(400)], LINKS)
+    feed = spark.createDataFrame([(1, 1, "r7", "Blues", "u4", False)], "seq bigint, our_team_id bigint, root_team_id string, name string, progenitor_team_id string, is_hidden boolean")
+    details = spark.createDataFrame([("u4", "blue", None, 2025)], "progenitor_team_id string, public_id string, name string, season_year bigint")
+    hits = spark.createDataFrame([("Golds", "v1", "gold", "Golds", 2025)], "query string, gc_uuid string, public_id string, name string, season_year bigint")
+    out, _ = linking.resolve_opponents(links, feed, details, hits, snapshot["teams"], F.lit("now"), 2026)
+    assert rows(out.filter("resolved_team_id is not null"), "root_team_id", "resolved_team_id") == [("r7", 4)]
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 400 and max(tasks) < 200
+
+
+def test_a_team_of_many_links_is_dealt_over_tasks(spark, plain_joins):
+    links = spark.createDataFrame([(1 if i % 4 else None, i) for i in range(400)], "our bigint, root bigint")
+    years = spark.createDataFrame([(1, 2025), (2, 2024)], "our bigint, year bigint")
+    out = linking._joined_evenly(links, years, ["our"], "root", linking.PLACES)
+    assert rows(out, "root", "year") == sorted(((i, 2025 if i % 4 else None) for i in range(400)), key=str)
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 200
