@@ -254,6 +254,8 @@ def signal_counts(rows: DataFrame) -> DataFrame:
 def latest_counts(kept: DataFrame) -> DataFrame:
     """Over the rows of many runs (created_at, ingest_seq): the status that each signal had last, counted; a signal is told
     by game, team and player, from whatever perspective."""
+    key = ["game_id", "team_id", "player_id", "category", "signal_name"]
     last = F.max_by("status", F.struct("created_at", "ingest_seq")).alias("status")
-    rows = kept.groupBy("game_id", "team_id", "player_id", "category", "signal_name").agg(last)
+    # a signal's rows come from different perspectives and runs, so none meet before the shuffle: sorting them there first is in vain
+    rows = kept.select(*key, "status", "created_at", "ingest_seq").repartition(*key).groupBy(*key).agg(last)
     return rows.groupBy("category", "signal_name", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -90,3 +90,12 @@ def test_event_counts(spark, tables):
     events = spark.createDataFrame([("g", 1, 1, "foul", None), ("g", 1, 1, "ball", None), ("g", 1, 1, None, "Runner scores on Wild Pitch"), ("g", 9, 1, "foul", None)], "game_id string, perspective_team_id bigint, play_order bigint, pitch_result string, template string")
     rows = {r["play_order"]: (r["strikes"], r["wild_pitches"]) for r in reconcile.with_event_counts(tables[0].filter("game_id = 'g'"), events).collect()}
     assert rows[1] == (1, 1) and rows[2] == (0, 0)
+
+
+def test_signals_of_runs_are_not_sorted_before_they_meet(spark):
+    rows = [("g", 1, 1, "p", "pitcher", "pitcher_bf", "CORRECTABLE", 1, 9), ("g", 2, 1, "p", "pitcher", "pitcher_bf", "CORRECTED", 2, 1), ("g", 1, 1, "q", "pitcher", "pitcher_bf", "MATCH", 1, 1), ("g", 2, 1, "q", "pitcher", "pitcher_bf", "AMBIGUOUS", 1, 2)]
+    kept = spark.createDataFrame(rows, "game_id string, perspective_team_id bigint, team_id bigint, player_id string, category string, signal_name string, status string, created_at bigint, ingest_seq bigint")
+    counts = reconcile.latest_counts(kept)
+    assert sorted(map(tuple, counts.collect())) == [("pitcher", "pitcher_bf", "AMBIGUOUS", 1), ("pitcher", "pitcher_bf", "CORRECTED", 1)]
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_max_by" in plan and "partial_max_by" not in plan[plan.rindex("RepartitionByExpression" if "RepartitionByExpression" in plan else "REPARTITION_BY_COL") :]
