@@ -36,7 +36,7 @@ from scoutlake.llm import pretokens, shared
 
 END_ID = 0
 #: Tokens of a frame, and blocks that are coded side by side.
-FRAME, GROUP = 4 << 20, 1024
+FRAME, GROUP = 8 << 20, 2048
 #: Pre-tokens that a worker remembers; then it forgets them all.
 REMEMBERED = 1_000_000
 
@@ -44,6 +44,10 @@ _SYMBOLS, _STATES, _BITS = 16, 3, 15
 _HIT2, _HIT1, _RANK = 0, 1, 2
 #: Bits that follow each event: none for hits and rank 0, all 16 of ranks of more than 12 bits.
 _EXTRA = np.array([0, 0, 0, *range(12), 16], np.uint64)
+_LENGTH_OF = np.frexp(np.arange(1 << 16))[1].astype(np.int8)  # the bit length; exact for small whole numbers
+#: For each rank its event and the bits that follow.
+_EVENT_OF = (_RANK + np.minimum(_LENGTH_OF, 13)).astype(np.int8)
+_LOW_OF = np.where(_LENGTH_OF > 12, np.arange(1 << 16), np.arange(1 << 16) - np.where(_LENGTH_OF > 0, 1 << np.maximum(_LENGTH_OF.astype(np.int64) - 1, 0), 0)).astype(np.uint16)
 #: The symbol of ids that are not listed.
 _RARE = (1 << 16) - 1
 #: A block's model is renewed after so many symbols at most.
@@ -52,6 +56,19 @@ _SLOTS = 12
 _WORD = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _U = np.uint64
+_BYTES = np.uint64(0x0101010101010101)
+#: What a slot holds above its id: its state after a candidate that failed, and after one that held.
+_HELD = np.array([1 << 17, 2 << 17], np.int32)
+
+
+def _letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 0x100 + i for i, b in enumerate(others)}
+
+
+_LETTERS = _letters()
 
 
 class TextEncoder:
@@ -60,17 +77,28 @@ class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
+        steps = self.library.pre_tokenizer
+        #: A pre-token is one word of the library's model, in its letters for bytes, if nothing else comes before the model.
+        self.plain = self.library.normalizer is None and isinstance(steps, ByteLevel) and not steps.add_prefix_space
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memory = pretokens.Memory([np.uint32], REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of some texts by the library, and where each text's begin."""
-        found = [x.ids for at in range(0, len(texts), 20_000) for x in self.library.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        if self.plain:
+            word = self.library.model.tokenize
+            found = [[t.id for t in word(x.encode().decode("latin-1").translate(_LETTERS))] for x in texts]
+        else:
+            found = self._ids_whole(texts)
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
         return [(np.fromiter((i for x in found for i in x), np.uint32, int(bounds[-1])), bounds)]
 
+    def _ids_whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for at in range(0, len(texts), 20_000) for x in self.library.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, and where each text's begin."""
         tokens = pretokens.pretokens(texts, lowered=False, marks=self.special)
@@ -159,26 +187,30 @@ def _shifted(ids: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _events(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each symbol of some blocks its event, the lower bits of its rank (0 after a hit), and the pair of states before it."""
+    one, two = _shifted(ids, 1), _shifted(ids, 2)
+    candidate1, state1 = _before(_slot(one, None), ids)
+    candidate2, state2 = _before(_slot(one, two), ids)
+    events = np.where(candidate2 == ids, np.int8(_HIT2), np.where(candidate1 == ids, np.int8(_HIT1), _EVENT_OF.take(ids)))
+    return events, np.where(events >= _RANK, _LOW_OF.take(ids), np.uint16(0)), state2 * np.int8(_STATES) + state1
+
+
 def _encode_group(ids: np.ndarray) -> list[bytes]:
     """The blocks of symbols (rows of one length, below 2 ** 16)."""
     rows, length = ids.shape
     ids = ids.astype(np.int32)
-    one, two = _shifted(ids, 1), _shifted(ids, 2)
-    candidate1, state1 = _before(_slot(one, None), ids)
-    candidate2, state2 = _before(_slot(one, two), ids)
-    log = np.frexp(ids.astype(np.float64))[1].astype(np.int32)  # the bit length; exact for small whole numbers
-    low = np.where(log > 12, ids, ids - np.where(ids > 0, np.left_shift(1, np.maximum(log - 1, 0)), 0))
-    events = np.where(candidate2 == ids, _HIT2, np.where(candidate1 == ids, _HIT1, _RANK + np.minimum(log, 13)))
-    value = np.where(events >= _RANK, low, 0)
-    states = state2.astype(np.int64) * _STATES + state1
-    mixer, at = _Mixer(rows), np.arange(rows)[:, None]
-    below, width = np.empty((length, rows), _U), np.empty((length, rows), _U)
+    # some blocks at a time, so that what is made on the way stays small
+    events, value, states = (np.concatenate(x) for x in zip(*(_events(ids[r : r + 64]) for r in range(0, rows, 64)), strict=True))
+    mixer, at = _Mixer(rows), np.arange(rows)[:, None] * (_STATES * _STATES)
+    below, width = np.empty((length, rows), np.uint16), np.empty((length, rows), np.uint16)
     for first, last in _windows(length):
         table, s, e = mixer.table(), states[:, first:last], events[:, first:last]
-        low_edge = table[at, s, e]
-        below[first:last], width[first:last] = low_edge.T, (table[at, s, e + 1] - low_edge).T
+        place, flat = (at + s) * (_SYMBOLS + 1) + e, table.astype(np.uint16).ravel()
+        low_edge = flat.take(place)
+        below[first:last], width[first:last] = low_edge.T, (flat.take(place + 1) - low_edge).T
         mixer.update(s, e)
-    extra, value = _EXTRA[events.T], np.ascontiguousarray(value.T.astype(_U))
+    extra, value = _EXTRA.astype(np.uint8).take(events.T), np.ascontiguousarray(value.T)
     words, used = np.zeros((rows, length + 2), np.uint32), np.zeros(rows, np.int64)
     base, size = np.zeros(rows, _U), np.full(rows, (1 << 64) - 1, _U)
     for t in range(length):
@@ -215,31 +247,35 @@ def _decode_group(blocks: list[bytes], length: int) -> np.ndarray:
     row_of = each * (_STATES * _STATES)
     for first, last in _windows(length):
         table = mixer.table().reshape(-1, _SYMBOLS + 1)
-        edges, flat = np.ascontiguousarray(table[:, 1:_SYMBOLS].astype(np.int32)), table.ravel()
+        edges, flat = table[:, 1:].astype(np.uint16), table.ravel()
+        edges[:, -1] = np.iinfo(np.uint16).max  # beyond every target
         states, events = np.empty((last - first, rows), np.int64), np.empty((last - first, rows), np.int64)
         for t in range(first, last):
             at1 = slot_row + _slot(one, None)
             at2 = slot_row + _slot(one, two)
-            held1, held2 = tables[0][at1], tables[1][at2]
+            held1, held2 = tables[0].take(at1), tables[1].take(at2)
             state = (held2 >> 17) * _STATES + (held1 >> 17)
             row = row_of + state
             part = size >> _U(_BITS)
-            target = (off // part).astype(np.int32)
-            event = (edges[row] <= target[:, None]).view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64)
+            target = (off // part).astype(np.uint16)
+            # a row's 16 comparisons are bytes of 0 or 1, which two words add up
+            passed = (edges.take(row, axis=0) <= target[:, None]).view(_U)
+            event = (((passed[:, 0] + passed[:, 1]) * _BYTES) >> _U(56)).astype(np.int64)
             place = row * (_SYMBOLS + 1) + event
-            below = flat[place]
-            extra = _EXTRA[event]
-            size = (part * (flat[place + 1] - below)) >> extra
+            below = flat.take(place)
+            extra = _EXTRA.take(event)
+            size = (part * (flat.take(place + 1) - below)) >> extra
             moved = part * below
             value = (off - moved) // size
             moved += size * value
             off -= moved
             base += moved
-            ids = value.astype(np.int32) + first_of[event]
-            ids = np.where(event >= _RANK, ids, (np.where(event == _HIT2, held2, held1) & 0x1FFFF) - 1).astype(np.int32)
-            kept = ids + 1
-            tables[0][at1] = kept + ((1 + ((held1 & 0x1FFFF) == kept)) << 17)
-            tables[1][at2] = kept + ((1 + ((held2 & 0x1FFFF) == kept)) << 17)
+            known1, known2 = held1 & 0x1FFFF, held2 & 0x1FFFF
+            kept = value.astype(np.int32) + first_of.take(event) + np.int32(1)
+            kept = np.where(event >= _RANK, kept, np.where(event == _HIT2, known2, known1))
+            tables[0].put(at1, kept + _HELD.take(known1 == kept))
+            tables[1].put(at2, kept + _HELD.take(known2 == kept))
+            ids = kept - np.int32(1)
             out[t] = ids
             states[t - first], events[t - first] = state, event
             one, two = ids, one
@@ -259,6 +295,13 @@ def block_length(tokens: int) -> int:
     return min(max(tokens, 1), 4096 if tokens >= 1 << 20 else 2048 if tokens >= 1 << 18 else 1024)
 
 
+def _groups(blocks):
+    """Blocks to be coded side by side: groups of about one size, none above GROUP."""
+    n = len(blocks)
+    k = -(-n // GROUP)
+    return [blocks[n * i // k : n * (i + 1) // k] for i in range(k)]
+
+
 def encode_ids(ids: np.ndarray) -> tuple[int, bytes, bytes]:
     """The length of a block, the list of ids, and the blocks of ids (each: its number of bytes, their crc32, its bytes)."""
     most = int(ids.max()) if len(ids) else 0
@@ -277,7 +320,7 @@ def encode_ids(ids: np.ndarray) -> tuple[int, bytes, bytes]:
     padded = np.zeros(-(-len(ids) // length) * length, np.int32)
     padded[: len(ids)] = symbols
     padded = padded.reshape(-1, length)
-    made = [b for at in range(0, len(padded), GROUP) for b in _encode_group(padded[at : at + GROUP])]
+    made = [b for group in _groups(padded) for b in _encode_group(group)]
     return length, zlib.crc32(listed).to_bytes(4, "little") + listed, b"".join(len(b).to_bytes(4, "little") + zlib.crc32(b).to_bytes(4, "little") + b for b in made)
 
 
@@ -295,7 +338,7 @@ def decode_ids(listed: bytes, data: bytes, length: int, tokens: int) -> np.ndarr
             raise ValueError(f"block {len(blocks)} is damaged")
         blocks.append(block)
         at += 8 + size
-    parts = [_decode_group(blocks[i : i + GROUP], length).ravel() for i in range(0, len(blocks), GROUP)]
+    parts = [_decode_group(group, length).ravel() for group in _groups(blocks)]
     symbols = np.concatenate([*parts, np.zeros(0, np.int32)])[:tokens]
     out = np.append(known, np.uint32(0))[np.minimum(symbols, len(known))]
     out[symbols == _RARE] = rare

@@ -509,3 +509,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert [r[0] for r in rows(out, "doc_id")] == left and left
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(kept).collect()}
     assert rows(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute.encoded([(i, clean[i]) for i in left], library("word_bpe_49k.json"))
+
+
+def test_new_pretokens_go_straight_to_the_library_model():
+    words = [" word", "Ünï", " 12", "'s", "\n\n", " \t", "x y"[1:2], "-->", "ÿ"]
+    encoder = token_store.TextEncoder(token_store.vocabulary_path())
+    ((ids, bounds),) = encoder._ids(words)
+    assert encoder.plain and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == encoder._ids_whole(words)
+
+
+def test_groups_of_blocks_are_of_one_size():
+    sizes = [len(g) for g in token_store._groups(list(range(token_store.GROUP + 1)))]
+    assert sum(sizes) == token_store.GROUP + 1 and len(sizes) == 2 and min(sizes) > token_store.GROUP // 3
