@@ -21,6 +21,7 @@ texts' hashes; rows with a null id come first; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import zlib
@@ -38,7 +39,7 @@ END_ID = 0
 #: Tokens of a frame, and blocks that are coded side by side.
 FRAME, GROUP = 8 << 20, 2048
 #: Pre-tokens that a worker remembers; then it forgets them all.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 _SYMBOLS, _STATES, _BITS = 16, 3, 15
 _HIT2, _HIT1, _RANK = 0, 1, 2
@@ -90,9 +91,13 @@ class TextEncoder:
         """The ids of some texts by the library, and where each text's begin."""
         if self.plain:
             word = self.library.model.tokenize
-            found = [[t.id for t in word(x.encode().decode("latin-1").translate(_LETTERS))] for x in texts]
-        else:
-            found = self._ids_whole(texts)
+            flat, sizes = array.array("I"), []
+            for x in texts:
+                made = word(x.encode().decode("latin-1").translate(_LETTERS))
+                sizes.append(len(made))
+                flat.extend([t.id for t in made])
+            return [(np.array(flat, np.uint32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))]
+        found = self._ids_whole(texts)
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
         return [(np.fromiter((i for x in found for i in x), np.uint32, int(bounds[-1])), bounds)]
 
